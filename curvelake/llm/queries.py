@@ -6,19 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import shared
 from .exact_dedup import exact_groups
+from .packing import pack
+from .token_files import read_token_files, write_token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared.Workspace(spark, "token-files").path
+    return read_token_files(write_token_files(documents(spark, sf_dir), folder), folder)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_exact_dedup": op7_exact_dedup}
+    return {
+        "op3_packing": op3_packing,
+        "op6_token_files": op6_token_files,
+        "op7_exact_dedup": op7_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,13 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from . import shared
 from .exact_dedup import exact_groups
 from .packing import pack
+from .quality_classifier import quality_scores
 from .token_files import read_token_files, write_token_files
+from .toxicity import toxicity_scores
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
@@ -29,11 +39,17 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op3_packing": op3_packing,
         "op6_token_files": op6_token_files,
         "op7_exact_dedup": op7_exact_dedup,
+        "op9_quality": op9_quality,
     }
 
 

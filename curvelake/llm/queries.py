@@ -10,6 +10,7 @@ from . import shared
 from .exact_dedup import exact_groups
 from .packing import pack
 from .quality_classifier import quality_scores
+from .quality_rules import quality_rules
 from .token_files import read_token_files, write_token_files
 from .toxicity import toxicity_scores
 
@@ -30,6 +31,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared.Workspace(spark, "token-files").path
     return read_token_files(write_token_files(documents(spark, sf_dir), folder), folder)
@@ -47,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op3_packing": op3_packing,
+        "op5_quality_rules": op5_quality_rules,
         "op6_token_files": op6_token_files,
         "op7_exact_dedup": op7_exact_dedup,
         "op9_quality": op9_quality,

@@ -20,8 +20,8 @@ BASE, WORD_BASE = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
 #: Sub-batches hold about this many bytes of text, so that temporaries stay near 100 MB.
 CHUNK = 2 << 20
 
-_WHITE = np.zeros(256, bool)
-_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+WHITE = np.zeros(256, bool)
+WHITE[[0x20, *range(0x09, 0x0E)]] = True
 #: Separators of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` once A-Z are lower-cased.
 _NOT_ALNUM = np.ones(256, bool)
 for _a, _b in ((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF)):
@@ -76,7 +76,7 @@ class Texts:
 
     def words(self, alnum: bool = False) -> Words:
         raw = LOWER[self.raw] if alnum else self.raw
-        sep = (_NOT_ALNUM if alnum else _WHITE)[raw]
+        sep = (_NOT_ALNUM if alnum else WHITE)[raw]
         n = len(raw)
         if not n:
             z = np.zeros(0, np.int64)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import shared
 from .exact_dedup import exact_groups
+from .license_scan import license_scan
 from .packing import pack
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
@@ -48,6 +49,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -56,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_files": op6_token_files,
         "op7_exact_dedup": op7_exact_dedup,
         "op9_quality": op9_quality,
+        "op10_license_scan": op10_license_scan,
     }
 
 

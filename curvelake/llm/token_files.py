@@ -39,7 +39,13 @@ def encode_ranks(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     padded[: len(ranks)] = extra
     quads = padded.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= extra[:, None]]
+    lengths = extra.astype(np.int64) + 1
+    at = np.cumsum(lengths) - lengths
+    data = np.empty(int(lengths.sum()), np.uint8)
+    data[at] = ranks & np.uint32(0xFF)
+    for k in range(1, 4):
+        longer = np.flatnonzero(extra >= k)
+        data[at[longer] + k] = ranks[longer] >> np.uint32(8 * k) & np.uint32(0xFF)
     return control.astype(np.uint8), data
 
 

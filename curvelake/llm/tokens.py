@@ -17,7 +17,9 @@ import numpy as np
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 _OTHER = re.compile(rf"[^\t-\r\x20-\x7e{_LETTERS}]")
-CACHED_PIECES = 400_000
+#: A space and letters: laid end to end, such pieces are split as they were.
+_SPACED = re.compile(rf" [{_LETTERS}]+")
+CACHED_PIECES = 1_200_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -36,22 +38,43 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.pieces: dict[str, bytes] = {}
+        #: By id: the bytes that it stands for. The alphabet of byte-level BPE has one character for each byte.
+        self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.vocabulary)], np.int64)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of new pieces; words go to the library as one text and come apart by the bytes of its ids."""
+        words = [p for p in pieces if _SPACED.fullmatch(p)]
+        rest = [p for p in pieces if not _SPACED.fullmatch(p)]
+        if words:
+            ids = np.frombuffer(self._ids(["".join(words)])[0], self.dtype)
+            ends = np.cumsum([len(w.encode()) for w in words])
+            reached = np.cumsum(self.widths[ids])
+            last = np.searchsorted(reached, ends)
+            if not np.array_equal(reached[last], ends):
+                raise ValueError("the tokenizer isn't byte-level or joins words")
+            raw, last = ids.tobytes(), ((last + 1) * self.dtype.itemsize).tolist()
+            self.pieces.update(zip(words, (raw[a:b] for a, b in zip([0, *last], last))))
+        self.pieces.update(zip(rest, self._ids(rest)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian, in self.dtype."""
         if len(self.pieces) > CACHED_PIECES:
             self.pieces.clear()
+        get = self.pieces.get
         split = [None if _OTHER.search(t) else _PIECES.findall(t) for t in texts]
-        new = set().union(*(p for p in split if p)).difference(self.pieces)
+        coded = [None if p is None else list(map(get, p)) for p in split]
+        gaps = [[] if c is None else [i for i, x in enumerate(c) if x is None] for c in coded]
+        new = {p[i] for p, at in zip(split, gaps) for i in at}
         if new:
-            missing = list(new)
-            self.pieces.update(zip(missing, self._ids(missing)))
+            self._learn(list(new))
+            for p, c, at in zip(split, coded, gaps):
+                for i in at:
+                    c[i] = get(p[i])
         whole = iter(self._ids([t for t, p in zip(texts, split) if p is None]))
-        get = self.pieces.__getitem__
-        return [next(whole) if p is None else b"".join(map(get, p)) for p in split]
+        return [next(whole) if c is None else b"".join(c) for c in coded]
 
     def sentence_ends(self) -> tuple[np.ndarray, np.ndarray]:
         """By id: whether its text ends a sentence, and whether its text begins with white space."""

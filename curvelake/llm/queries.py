@@ -12,6 +12,7 @@ from .license_scan import license_scan
 from .packing import pack
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
+from .substring_dedup import digest, remove_repeats
 from .token_files import read_token_files, write_token_files
 from .toxicity import toxicity_scores
 
@@ -28,6 +29,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(remove_repeats(documents(spark, sf_dir)))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
@@ -56,6 +61,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_packing": op3_packing,
         "op5_quality_rules": op5_quality_rules,
         "op6_token_files": op6_token_files,
@@ -67,6 +73,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_substring_dedup": r"""
+            WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+            windows AS (SELECT doc_id, w, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+                        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50)),
+            repeats AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS least FROM windows) WHERE least < doc_id),
+            cut AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM repeats),
+            gone AS (SELECT doc_id, list(k) AS ks, count(*) AS n FROM cut GROUP BY doc_id)
+            SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+                   sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE array_to_string([w[k] FOR k IN range(1, len(w) + 1) IF NOT list_contains(ks, k)], ' ') END) AS kept_sha256
+            FROM words LEFT JOIN gone USING (doc_id)""",
         "op7_exact_dedup": r"""
             WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -44,6 +45,11 @@ class Workspace:
         df.write.option("compression", codec).parquet(to)
         return self.spark.read.schema(df.schema).parquet(to)
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of finished steps now instead of at the driver's next collection."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str = "") -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)

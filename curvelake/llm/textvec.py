@@ -141,6 +141,18 @@ def inside(docs: np.ndarray, k: int, n: int) -> np.ndarray:
     return left[:n] >= k
 
 
+def sliding(a: np.ndarray, k: int, least: bool) -> np.ndarray:
+    """Minimum or maximum of the k values from each position, in log2(k) passes."""
+    f = np.minimum if least else np.maximum
+    if len(a) < k:
+        return a[:0]
+    size, n = 1, len(a) - k + 1
+    while 2 * size <= k:
+        a = f(a[:-size], a[size:])
+        size *= 2
+    return f(a[:n], a[k - size : k - size + n])
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK) -> Iterator[tuple[int, int, Texts]]:
     """Row ranges of a batch with their texts; the column holds no nulls. A text over the limit is a range of its own."""
     col = batch.column(column)

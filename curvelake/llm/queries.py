@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import shared
 from .exact_dedup import exact_groups
+from .jaccard_join import jaccard_components
 from .license_scan import license_scan
 from .packing import pack
 from .quality_classifier import quality_scores
@@ -37,6 +38,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_packing": op3_packing,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_quality_rules": op5_quality_rules,
         "op6_token_files": op6_token_files,
         "op7_exact_dedup": op7_exact_dedup,

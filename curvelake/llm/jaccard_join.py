@@ -292,3 +292,10 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR,
     component = F.when(F.col("n_shingles") == 0, F.col("doc")).otherwise(F.col("least"))
     no = F.lit(NO_ID)
     return out.select(F.nullif("doc", no).alias("doc_id"), "n_shingles", F.nullif(component, no).alias("component_id"))
+
+
+def near_dedup(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id names their component; rows without doc_id stay."""
+    gone = jaccard_components(docs, **parameters).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("named"))
+    gone = gone.where(F.col("doc_id").isNotNull() & ~F.col("named")).select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

@@ -119,6 +119,27 @@ def fit(rows: DataFrame, featurise: Featuriser, model: Ftrl, epochs: int, pairs:
     return w
 
 
+def _scores(x: textvec.Texts, featurise: Featuriser, w: np.ndarray) -> np.ndarray:
+    doc, feature, value = featurise(x)
+    part = w[feature]
+    used = np.flatnonzero(part)
+    s = np.bincount(doc[used], part[used].astype(float) * value[used], len(x)) + float(w[-1])
+    return 1 / (1 + np.exp(-np.clip(s, -35, 35)))
+
+
+def keep(docs: DataFrame, featurise: Featuriser, weights: np.ndarray, threshold: float) -> DataFrame:
+    """The rows of docs, all columns, that score the threshold or more; decided in the scan."""
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = pa.RecordBatch.from_arrays([batch.column("text").fill_null("")], names=["text"])
+            for lo, hi, x in textvec.slices(text):
+                yield batch.slice(lo, hi - lo).filter(pa.array(_scores(x, featurise, sent.value) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, featurise: Featuriser, weights: np.ndarray, threshold: float) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
@@ -127,11 +148,7 @@ def score(docs: DataFrame, featurise: Featuriser, weights: np.ndarray, threshold
         w = sent.value
         for batch in batches:
             for lo, hi, x in textvec.slices(batch):
-                doc, feature, value = featurise(x)
-                part = w[feature]
-                used = np.flatnonzero(part)
-                s = np.bincount(doc[used], part[used].astype(float) * value[used], hi - lo) + float(w[-1])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(1 / (1 + np.exp(-np.clip(s, -35, 35))))], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(_scores(x, featurise, w))], names=["doc_id", "score"])
 
     scored = shared.texts(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", shared.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -64,3 +64,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     doc_id and text are ignored; an empty table gives an empty result. Repeated rows get one score each.
     """
     return linear.score(docs, features, train(docs, labels, **parameters), threshold)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **parameters) -> DataFrame:
+    """The rows of docs, all columns, that quality_scores predicts as 1."""
+    return linear.keep(docs, features, train(docs, labels, **parameters), threshold)

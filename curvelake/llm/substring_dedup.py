@@ -15,7 +15,6 @@ whose skewed keys Spark splits: no key's occurrences are ever needed in one task
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import shared, textvec
 
@@ -89,7 +89,7 @@ def _anchors(window: int):
 
 
 _EXTENDED = "row long, doc long, n_words long, text string, whole boolean, at array<int>, hash array<long>, check array<int>"
-_EXTENDED_ARROW = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("n_words", pa.int64()), ("text", pa.string()), ("whole", pa.bool_()), ("at", pa.list_(pa.int32())), ("hash", pa.list_(pa.int64())), ("check", pa.list_(pa.int32()))])
+_ARROW = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("n_words", pa.int64()), ("text", pa.string()), ("whole", pa.bool_()), ("at", pa.list_(pa.int32())), ("hash", pa.list_(pa.int64())), ("check", pa.list_(pa.int32()))])
 
 
 def _extend(window: int):
@@ -113,7 +113,8 @@ def _extend(window: int):
                         at = np.flatnonzero(np.isin(s.anchor[a : b - window + 1], np.array(halves[lo + d], np.int64).view(np.uint64)))
                     out.append((row, ids[lo + d], b - a, texts[lo + d], whole, at.astype(np.int32), h[a + at], check[a + at]))
                     row += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _EXTENDED_ARROW)], schema=_EXTENDED_ARROW)
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)]
+                yield pa.RecordBatch.from_arrays([*columns, batch.column("rest").slice(lo, hi - lo)], names=[*_ARROW.names, "rest"])
 
     return run
 
@@ -121,14 +122,19 @@ def _extend(window: int):
 _KEPT = "doc long, n_words long, n_removed long, kept_text string"
 
 
-def _remove(window: int):
+def _remove(window: int, as_is: bool):
+    """as_is: a text of which nothing goes keeps its white space."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 out = []
                 for doc, n, text, whole, at in zip(*(batch.slice(lo, 500).column(c).to_pylist() for c in ("doc", "n_words", "text", "whole", "removed"))):
-                    words = [] if whole else text.encode().split()
                     removed = n if whole else 0
+                    if as_is and not whole and not at:
+                        out.append((None if doc == NO_ID else doc, n, 0, text))
+                        continue
+                    words = [] if whole else text.encode().split()
                     if at and not whole:
                         edge = np.zeros(n + 1, np.int64)
                         np.add.at(edge, at, 1)
@@ -138,7 +144,7 @@ def _remove(window: int):
                         words = [w for w, k in zip(words, keep.tolist()) if k]
                     out.append((None if doc == NO_ID else doc, n, removed, b" ".join(words).decode()))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc", "n_words", "n_removed", "kept_text"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*out), kinds)), batch.column("rest").slice(lo, 500)], names=["doc", "n_words", "n_removed", "kept_text", "rest"])
 
     return run
 
@@ -150,8 +156,26 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     text has no words. A null doc_id counts as greater than all others, and rows that share a doc_id don't remove each other's words.
     Columns beside doc_id and text are ignored; an empty table gives an empty result.
     """
+    return _repeats(docs, window, [], False).drop("rest")
+
+
+def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs, all columns, without the words that remove_repeats takes; texts that lose none are unchanged,
+    those that lose all go, and n_chars, where it is a column, follows the text."""
+    other = [c for c in docs.columns if c not in ("doc_id", "text")]
+    left = _repeats(docs, window, other, True).where("n_removed = 0 or n_removed < n_words")
+    sized = F.when(F.col("n_removed") == 0, F.col("rest.n_chars")).otherwise(F.char_length("kept_text")) if "n_chars" in other else None
+    value = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": sized}
+    return left.select(*((value[c] if c in value else F.col("rest")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+
+
+def _repeats(docs: DataFrame, window: int, other: list[str], as_is: bool) -> DataFrame:
+    """other: columns to carry along, in a struct."""
     ws = shared.Workspace(docs.sparkSession, "substrings")
-    rows = shared.texts(docs)
+    rest = F.struct(*(docs[c] for c in other), F.lit(0).alias("_")).alias("rest")
+    full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), rest)
+    kind = full.schema["rest"]
+    rows = full.select("doc_id", "text")
     halves = ws.write(rows.mapInArrow(_anchors(window), _ANCHORS), "halves")
     twice = halves.groupBy("hash", "check").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
     found = halves.join(twice, ["hash", "check"])
@@ -161,15 +185,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = ws.write(found, "found")
     ws.drop("halves")
     ws.release()
-    keyed = rows.withColumn("_doc", F.coalesce("doc_id", F.lit(NO_ID))).join(found.withColumnRenamed("doc", "_doc"), "_doc", "left").select("doc_id", "text", "halves", "copies")
-    extended = ws.write(keyed.mapInArrow(_extend(window), _EXTENDED), "extended")
+    keyed = full.withColumn("_doc", F.coalesce("doc_id", F.lit(NO_ID))).join(found.withColumnRenamed("doc", "_doc"), "_doc", "left").select("doc_id", "text", "rest", "halves", "copies")
+    extended = ws.write(keyed.mapInArrow(_extend(window), StructType([*StructType.fromDDL(_EXTENDED), kind])), "extended")
     ws.release()
-    full = extended.where(F.size("at") > 0).select("row", "doc", F.inline(F.arrays_zip("at", "hash", "check")))
-    twice = full.groupBy("hash", "check").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
-    cut = full.join(twice, ["hash", "check"]).where("least < doc").groupBy("row").agg(F.collect_list("at").alias("removed"))
-    some = extended.where(F.size("at") > 0).join(cut, "row", "left").select("doc", "n_words", "text", "whole", "removed")
-    none = extended.where(F.size("at") == 0).select("doc", "n_words", "text", "whole", F.lit(None).cast("array<int>").alias("removed"))
-    return some.union(none).mapInArrow(_remove(window), _KEPT).withColumnRenamed("doc", "doc_id")
+    places = extended.where(F.size("at") > 0).select("row", "doc", F.inline(F.arrays_zip("at", "hash", "check")))
+    twice = places.groupBy("hash", "check").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
+    cut = places.join(twice, ["hash", "check"]).where("least < doc").groupBy("row").agg(F.collect_list("at").alias("removed"))
+    some = extended.where(F.size("at") > 0).join(cut, "row", "left").select("doc", "n_words", "text", "whole", "removed", "rest")
+    none = extended.where(F.size("at") == 0).select("doc", "n_words", "text", "whole", F.lit(None).cast("array<int>").alias("removed"), "rest")
+    return some.union(none).mapInArrow(_remove(window, as_is), StructType([*StructType.fromDDL(_KEPT), kind])).withColumnRenamed("doc", "doc_id")
 
 
 def digest(kept: DataFrame) -> DataFrame:

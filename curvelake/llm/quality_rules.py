@@ -66,10 +66,10 @@ def ratios(raw: np.ndarray, trusted: np.ndarray, smoothing: float = SMOOTHING) -
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndarray:
     """The log ratios by bucket. Trusted are documents labelled 1 that aren't held out; counts cover them all and all documents.
 
-    Each task sends at most 2**BITS sums; the driver gets as many rows.
+    The join shuffles both sides at any size: the trusted ids grow with the labels. Each task sends at most 2**BITS sums; the driver gets as many rows.
     """
     ids = labels.where((F.col(label) == 1) & F.col("doc_id").isNotNull() & ~shared.held_out(F.col("doc_id")))
-    ids = ids.select(F.col("doc_id").cast("long").alias("_id")).distinct()
+    ids = ids.select(F.col("doc_id").cast("long").alias("_id")).distinct().hint("merge")
     rows = shared.texts(docs).join(ids, F.col("doc_id") == F.col("_id"), "left").select("text", F.col("_id").isNotNull().alias("trusted"))
     got = rows.mapInArrow(_count, "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toPandas()
     total = np.zeros((2, 1 << BITS), np.int64)

@@ -129,6 +129,7 @@ def _scores(x: textvec.Texts, featurise: Featuriser, w: np.ndarray) -> np.ndarra
 
 def keep(docs: DataFrame, featurise: Featuriser, weights: np.ndarray, threshold: float) -> DataFrame:
     """The rows of docs, all columns, that score the threshold or more; decided in the scan."""
+    shared.small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

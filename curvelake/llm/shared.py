@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import tempfile
 import uuid
 
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+_CLEANUP, _BATCH, BATCH_BYTES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def root(spark: SparkSession) -> str:
@@ -41,15 +41,16 @@ class Workspace:
         atexit.register(self.close)
 
     def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        """df as a table; the shuffle files of its making go with the write."""
         to = f"{self.path}/{name}"
-        df.write.option("compression", codec).parquet(to)
+        before = self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", codec).parquet(to)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(to)
 
-    def release(self) -> None:
-        """Lets Spark delete the shuffle files of finished steps now instead of at the driver's next collection."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, name: str = "") -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
@@ -60,8 +61,15 @@ class Workspace:
             self.drop()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts by bytes: 10,000 rows of them would fill a worker's memory. A setting of the user's own stays."""
+    if spark.conf.get(_BATCH).removesuffix("b") == str(64 << 20):
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, a null text as an empty one: other columns never reach the executors."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

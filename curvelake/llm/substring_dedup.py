@@ -99,19 +99,19 @@ def _extend(window: int):
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             ids = batch.column("doc_id").fill_null(NO_ID).to_pylist()
-            texts, halves, copies = (batch.column(c).to_pylist() for c in ("text", "halves", "copies"))
             for lo, hi, x in textvec.slices(batch):
+                texts, halves, copies = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in ("text", "halves", "copies"))
                 s = Hashed(x, window)
                 docs = s.words.docs
                 h, check = s.full(window)
                 out = []
                 for d in range(hi - lo):
                     a, b = int(docs[d]), int(docs[d + 1])
-                    whole = any(c["hash"] == s.whole[d] and c["check"] == s.whole_check[d] for c in copies[lo + d] or ())
+                    whole = any(c["hash"] == s.whole[d] and c["check"] == s.whole_check[d] for c in copies[d] or ())
                     at = np.zeros(0, np.int64)
-                    if halves[lo + d] and not whole and b - a >= window:
-                        at = np.flatnonzero(np.isin(s.anchor[a : b - window + 1], np.array(halves[lo + d], np.int64).view(np.uint64)))
-                    out.append((row, ids[lo + d], b - a, texts[lo + d], whole, at.astype(np.int32), h[a + at], check[a + at]))
+                    if halves[d] and not whole and b - a >= window:
+                        at = np.flatnonzero(np.isin(s.anchor[a : b - window + 1], np.array(halves[d], np.int64).view(np.uint64)))
+                    out.append((row, ids[lo + d], b - a, texts[d], whole, at.astype(np.int32), h[a + at], check[a + at]))
                     row += 1
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)]
                 yield pa.RecordBatch.from_arrays([*columns, batch.column("rest").slice(lo, hi - lo)], names=[*_ARROW.names, "rest"])
@@ -171,6 +171,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def _repeats(docs: DataFrame, window: int, other: list[str], as_is: bool) -> DataFrame:
     """other: columns to carry along, in a struct."""
+    shared.small_batches(docs.sparkSession)
     ws = shared.Workspace(docs.sparkSession, "substrings")
     rest = F.struct(*(docs[c] for c in other), F.lit(0).alias("_")).alias("rest")
     full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), rest)
@@ -184,10 +185,8 @@ def _repeats(docs: DataFrame, window: int, other: list[str], as_is: bool) -> Dat
     found = found.groupBy("doc").agg(F.collect_set(F.when(half, F.col("hash"))).alias("halves"), F.collect_set(F.when(copy, F.struct("hash", "check"))).alias("copies"))
     found = ws.write(found, "found")
     ws.drop("halves")
-    ws.release()
     keyed = full.withColumn("_doc", F.coalesce("doc_id", F.lit(NO_ID))).join(found.withColumnRenamed("doc", "_doc"), "_doc", "left").select("doc_id", "text", "rest", "halves", "copies")
     extended = ws.write(keyed.mapInArrow(_extend(window), StructType([*StructType.fromDDL(_EXTENDED), kind])), "extended")
-    ws.release()
     places = extended.where(F.size("at") > 0).select("row", "doc", F.inline(F.arrays_zip("at", "hash", "check")))
     twice = places.groupBy("hash", "check").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
     cut = places.join(twice, ["hash", "check"]).where("least < doc").groupBy("row").agg(F.collect_list("at").alias("removed"))

@@ -17,8 +17,8 @@ _RNG = np.random.Generator(np.random.PCG64(20260731))
 #: One random odd-mixed value per byte; the seed is fixed, so every executor hashes alike.
 BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 BASE, WORD_BASE = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
-#: Sub-batches hold about this many bytes of text, so that temporaries stay near 100 MB.
-CHUNK = 2 << 20
+#: Sub-batches hold about this many bytes of text, so that temporaries stay near 50 MB.
+CHUNK = 1 << 20
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -35,7 +35,7 @@ def powers(n: int, base: np.uint64 = BASE) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n; kept between calls."""
     got = _POWERS.get(int(base))
     if got is None or len(got[0]) < n:
-        size = max(n, CHUNK + 1, 2 * len(got[0]) if got is not None and n < 8 * CHUNK else 0)
+        size = 1 << (n - 1).bit_length()
         inverse = U(pow(int(base), -1, 2**64))
         out = []
         for b in (base, inverse):

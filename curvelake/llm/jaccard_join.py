@@ -1,36 +1,38 @@
-"""Exact Jaccard self-join of shingle sets, verified through R-trees of count vectors.
+"""Exact Jaccard self-join of shingle sets through R-trees of count vectors.
 
 1. Sets. A text's shingles are hashed; equal sets share a 128-bit digest and are one class from here on.
-2. Candidates. All shingles are counted into a table of fixed size, which puts them in one order, rare first. Two sets
-   with Jaccard t or more share a shingle among the first n - ceil(t n) + 1 of each, in any common order; rare
-   first keeps passages that many texts share out of it. Classes that share such a shingle, directly or in a chain, are
-   one candidate group. Only these groups' texts are read again.
-3. R-tree. In a group, a set's shingles hash to G counters: a point. Points are packed in nodes by size; a node keeps the largest count by
-   coordinate, and the sum of coordinate minima with a query bounds the overlap with any point below. Surviving pairs are
-   verified on their shingles. A node whose points all belong to the query's component already is passed over, so a
-   cluster of near copies costs a link each and not all its pairs.
-4. Groups larger than a task's share are dealt into blocks, and each pair of blocks is one task: exact at any group size.
-5. Links make components; the least doc_id names each.
+2. Buckets. Two sets with Jaccard t or more share a shingle among the first n - ceil(t n) + 1 of each, in any common
+   order of shingles. A table of fixed size counts all shingles by hash, so that the order puts frequent ones, as of passages that
+   many texts share, last. Classes that share such a shingle are a bucket; buckets of the same classes are one.
+3. R-tree. A set's shingles, hashed to groups, are a point of counts. In a bucket points are packed in nodes by size; a node keeps
+   the largest count by coordinate, and the sum of coordinate minima with a query bounds the overlap with any point
+   below. Pairs that survive join candidate groups. A node whose points all belong to the query's group already is passed over, so
+   a cluster of near copies costs an edge each and not all its pairs.
+4. Verification. Only the texts of candidate groups are read again. The same tree finds the pairs of a group, and their shingles are
+   intersected, again but for pairs that are in one component already.
+5. Buckets and groups beyond a task's share are dealt into blocks, and each pair of blocks is one task: exact at any size.
+6. Links make components; the least doc_id names each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import shared, textvec
 from .components import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 4, 85, 100
-GROUPS, LEAF = 64, 32
+GROUPS, LEAF = 256, 32
 #: Counters of the table that orders shingles.
-ORDER_BITS, SLICE = 20, 1 << 14
-#: Shingles of a candidate group that one task holds; larger groups are dealt into blocks of half of it.
-TASK_SHINGLES = 2_000_000
+ORDER_BITS, SLICE = 18, 1 << 14
+#: Shingles of a candidate group, and classes of a bucket, that one task holds; larger ones are dealt into blocks of half of it.
+TASK_SHINGLES, TASK_CLASSES = 2_000_000, 20_000
 NO_ID = 2**63 - 1
 _SECOND = np.uint64(0x2545F4914F6CDD1D)
 
@@ -117,8 +119,23 @@ def order_table(parts: DataFrame) -> np.ndarray:
     return np.minimum(table.reshape(-1), 2**32 - 1).astype(np.uint32)
 
 
+def points(g: np.ndarray, at: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """The count vector of each set."""
+    n = len(at) - 1
+    cell = np.repeat(np.arange(n) * groups, np.diff(at)) + (g % np.uint64(groups)).astype(np.int64)
+    return np.bincount(cell, minlength=n * groups).reshape(n, groups)
+
+
+def packed(point: np.ndarray) -> bytes:
+    return point.astype("<u2" if point.max() < 1 << 16 else "<u4").tobytes()
+
+
+def unpacked(raw: bytes, groups: int = GROUPS) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * groups else "<u4").astype(np.int32)
+
+
 def _prefixes(k: int, num: int, den: int, sent):
-    """Each set's rarest shingles with its class; a task leaves out sets that it has seen."""
+    """Each set's rarest shingles with its class, and its point; a task leaves out sets that it has seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = sent.value, set()
@@ -131,6 +148,7 @@ def _prefixes(k: int, num: int, den: int, sent):
                     if int(s[d]) not in seen:
                         seen.add(int(s[d]))
                         fresh[d] = True
+                counts = points(g, at)
                 doc = np.repeat(np.arange(len(n)), n)
                 kept = fresh[doc]
                 doc, g = doc[kept], g[kept]
@@ -141,32 +159,37 @@ def _prefixes(k: int, num: int, den: int, sent):
                 first = place < prefix_length(n, num, den)[doc]
                 key, node = g[first].view(np.int64), s[doc[first]]
                 for a in range(0, len(key), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 50_000]), pa.array(node[a : a + 50_000])], names=["key", "node"])
+                    part = pa.array(key[a : a + 50_000])
+                    yield pa.RecordBatch.from_arrays([part, pa.array(node[a : a + 50_000]), pa.nulls(len(part), pa.binary())], names=["key", "node", "point"])
+                new = np.flatnonzero(fresh)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(new), pa.int64()), pa.array(s[new]), pa.array([packed(p) for p in counts[new]], pa.binary())], names=["key", "node", "point"])
 
     return run
 
 
 class CountTree:
-    """Points of one block, packed in nodes by size; two levels, as a block is bounded."""
-
-    def __init__(self, sets: list[np.ndarray], groups: int = GROUPS, leaf: int = LEAF) -> None:
-        self.sets = sets
-        self.size = np.array([len(s) for s in sets], np.int64)
-        self.points = np.array([np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups) for s in sets], np.int32).reshape(-1, groups)
-        self.order = np.lexsort((self.points[:, 0], self.size))
-        self.leaves = [self.order[i : i + leaf] for i in range(0, len(sets), leaf)]
-        self.most = np.array([self.points[x].max(0) for x in self.leaves]).reshape(-1, groups)
+    """Points of one block, packed in nodes by size."""
+
+    def __init__(self, points: np.ndarray, leaf: int = LEAF) -> None:
+        self.points, self.size = points, points.sum(1)
+        order = np.lexsort((points[:, 0], self.size))
+        self.leaves = [order[i : i + leaf] for i in range(0, len(points), leaf)]
+        self.most = np.array([points[x].max(0) for x in self.leaves])
         self.low, self.high = (np.array([f(self.size[x]) for x in self.leaves]) for f in (np.min, np.max))
+        self.leaf_of = np.empty(len(points), np.int64)
+        for i, x in enumerate(self.leaves):
+            self.leaf_of[x] = i
 
     def near(self, point: np.ndarray, n: int, skip: np.ndarray, num: int, den: int) -> np.ndarray:
         """Points that may overlap enough with a set of n shingles; skip: by leaf, whether to pass it over."""
-        bound = np.minimum(self.most, point).sum(1)
-        nodes = np.flatnonzero(~skip & (den * self.high >= num * n) & (num * self.low <= den * n) & (bound >= least_overlap(np.maximum(self.low, -(-num * n // den)), n, num, den)))
+        nodes = np.flatnonzero(~skip & (den * self.high >= num * n) & (num * self.low <= den * n))
+        bound = np.minimum(self.most[nodes], point).sum(1)
+        nodes = nodes[bound >= least_overlap(np.maximum(self.low[nodes], -(-num * n // den)), n, num, den)]
         if not len(nodes):
             return nodes
         at = np.concatenate([self.leaves[i] for i in nodes.tolist()])
-        size = self.size[at]
-        return at[np.minimum(self.points[at], point).sum(1) >= least_overlap(size, n, num, den)]
+        at = at[(den * self.size[at] >= num * n) & (num * self.size[at] <= den * n)]
+        return at[np.minimum(self.points[at], point).sum(1) >= least_overlap(self.size[at], n, num, den)]
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -178,37 +201,90 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def links(left: list[np.ndarray], right: list[np.ndarray] | None, num: int = NUMERATOR, den: int = DENOMINATOR) -> list[tuple[int, int]]:
-    """Links of a forest with the components that all links have: within left, or between left and right."""
-    tree = CountTree(right if right is not None else left)
-    n = len(left)
-    label = np.arange(n + (len(right) if right is not None else 0))
-    base = n if right is not None else 0
-    own = CountTree(left) if right is not None else tree
-    leaf_of = np.empty(len(tree.sets), np.int64)
-    for i, x in enumerate(tree.leaves):
-        leaf_of[x] = i
+def forest(left: np.ndarray, right: np.ndarray | None, linked: Callable[[int, int], bool], num: int = NUMERATOR, den: int = DENOMINATOR) -> list[tuple[int, int]]:
+    """Of the pairs of points, within left or between left and right, that the tree leaves and `linked` accepts: a forest with their components."""
+    tree, n = CountTree(left if right is None else right), len(left)
+    base = 0 if right is None else n
+    label = np.arange(base + len(tree.points))
     pure = np.array([label[base + x[0]] if len(x) == 1 else -1 for x in tree.leaves])
-    out = []
+    sizes, out = left.sum(1).tolist(), []
     for q in range(n):
-        found = tree.near(own.points[q], len(left[q]), pure == label[q], num, den)
+        found = tree.near(left[q], sizes[q], pure == label[q], num, den)
         found = found[label[base + found] != label[q]]
         while len(found):
             j, found = int(found[0]), found[1:]
-            if den * (i := overlap(left[q], tree.sets[j])) >= num * (len(left[q]) + len(tree.sets[j]) - i):
-                out.append((q, j))
-                old, new = int(label[base + j]), int(label[q])
-                members = np.flatnonzero(label == old)
-                label[members] = new
-                inside = members[members >= base] - base
-                for i in np.unique(leaf_of[inside]).tolist():
-                    kinds = label[base + tree.leaves[i]]
-                    pure[i] = kinds[0] if (kinds == kinds[0]).all() else -1
-                pure[pure == old] = new
-                found = found[label[base + found] != new]
+            if not linked(q, j):
+                continue
+            out.append((q, j))
+            old, new = int(label[base + j]), int(label[q])
+            members = np.flatnonzero(label == old)
+            label[members] = new
+            for i in np.unique(tree.leaf_of[members[members >= base] - base]).tolist():
+                kinds = label[base + tree.leaves[i]]
+                pure[i] = kinds[0] if (kinds == kinds[0]).all() else -1
+            pure[pure == old] = new
+            found = found[label[base + found] != new]
     return out
 
 
+def links(left: list[np.ndarray], right: list[np.ndarray] | None, num: int = NUMERATOR, den: int = DENOMINATOR) -> list[tuple[int, int]]:
+    """A forest with the components of all links of shingle sets, within left or between left and right."""
+    other = left if right is None else right
+
+    def linked(q: int, j: int) -> bool:
+        i = overlap(left[q], other[j])
+        return den * i >= num * (len(left[q]) + len(other[j]) - i)
+
+    def at(sets: list[np.ndarray]) -> np.ndarray:
+        return points(np.concatenate(sets), np.append(0, np.cumsum([len(x) for x in sets]))).astype(np.int32)
+
+    return forest(at(left), None if right is None else at(right), linked, num, den)
+
+
+def may_link(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    n, m = int(a.sum()), int(b.sum())
+    return den * min(n, m) >= num * max(n, m) and int(np.minimum(a, b).sum()) >= least_overlap(n, m, num, den)
+
+
+def _candidates(num: int, den: int):
+    """Rows ordered by bucket and pair of blocks; of each such task the pairs that the bound leaves, as a forest."""
+
+    def solve(nodes: tuple[list, list], at: tuple[list, list], within: bool) -> list[tuple[int, int]]:
+        if not at[0] or not (within or at[1]):
+            return []
+        if within and len(at[0]) == 2:
+            return [tuple(nodes[0])] if may_link(*at[0], num, den) else []
+        found = forest(np.array(at[0]), None if within else np.array(at[1]), lambda q, j: True, num, den)
+        return [(nodes[0][a], nodes[not within][b]) for a, b in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, at, out = None, ([], []), ([], []), set()
+        for batch in batches:
+            for bucket, i, j, node, side, point in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "node", "side", "point"))):
+                if (bucket, i, j) != now:
+                    if now:
+                        out.update(solve(nodes, at, now[1] == now[2]))
+                    now, nodes, at = (bucket, i, j), ([], []), ([], [])
+                nodes[side].append(node)
+                at[side].append(unpacked(point))
+        if now:
+            out.update(solve(nodes, at, now[1] == now[2]))
+        pairs = list(out)
+        for a in range(0, len(pairs), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs[a : a + 50_000])], names=["a", "b"])
+
+    return run
+
+
+def dealt(rows: DataFrame, by: str, blocks: Column) -> DataFrame:
+    """Each row for every pair of blocks (i, j) that its block is in, ordered by task; side: whether it is j's and not i's."""
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+    rows = rows.withColumn("blocks", blocks.cast("int")).withColumn("block", block).select("*", F.inline(pairs))
+    rows = rows.withColumn("side", F.when(F.col("block") == F.col("i"), 0).otherwise(1)).drop("block", "blocks")
+    return rows.repartition(by, "i", "j").sortWithinPartitions(by, "i", "j")
+
+
 def _verify(k: int, num: int, den: int):
     """Rows ordered by candidate group and pair of blocks; of each such task its links, within a block or between two."""
 
@@ -242,7 +318,7 @@ def _verify(k: int, num: int, den: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, task_shingles: int = TASK_SHINGLES) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, task_shingles: int = TASK_SHINGLES, task_classes: int = TASK_CLASSES) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs; documents link at Jaccard num / den or more.
 
     A-Z are lower-cased; words are `[^\\x20\\x09-\\x0D]+`, shingles k words, or all of fewer. A null or empty text, or one without words, has no shingles
@@ -262,32 +338,34 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR,
         raise ValueError("two different sets share a 64-bit digest; change textvec's seed")
 
     sent = spark.sparkContext.broadcast(table)
-    keyed = ws.write(rows.mapInArrow(_prefixes(k, num, den, sent), "key long, node long"), "prefixes")
-    star = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub < most").drop("most")
-    spokes = keyed.join(star, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    groups = components(spokes, ws, "candidates")
-    members = groups.join(classes.select(F.col("s1").alias("node"), "keeper", "n"), "node")
-    load = members.groupBy("component").agg(F.sum("n").alias("load"))
-    blocks = F.when(F.col("load") <= task_shingles, 1).otherwise(F.ceil(2 * F.col("load") / task_shingles)).cast("int")
-    members = members.join(load.select("component", blocks.alias("blocks")), "component")
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = ws.write(members.select("node", "keeper", "component", "blocks", "block"), "members")
+    prefixes = ws.write(rows.mapInArrow(_prefixes(k, num, den, sent), "key long, node long, point binary"), "prefixes")
+    keyed = prefixes.where("key is not null").select("key", "node")
+    # Sums of two halves of a hash name a bucket's classes; one that several tasks send counts as often, and its bucket comes twice at worst.
+    h = F.xxhash64("node")
+    halves = F.sum(h.bitwiseAND(2**31 - 1)).alias("x"), F.sum(F.shiftrightunsigned(h, 33)).alias("y")
+    repeats = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most"), *halves).where("least < most")
+    buckets = repeats.withColumn("bucket", F.min("key").over(Window.partitionBy("n", "least", "most", "x", "y"))).where("key = bucket").select("key", "n").hint("merge")
+    members = keyed.join(buckets, "key").groupBy(F.col("key").alias("bucket"), "node").agg(F.max("n").alias("n"))
+    members = ws.write(members, "buckets")
+    point = prefixes.where("point is not null").select("node", "point").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    blocks = F.when(F.col("n") <= task_classes, 1).otherwise(F.ceil(2 * F.col("n") / task_classes))
+    may = ws.write(dealt(members.join(point, "node"), "bucket", blocks).mapInArrow(_candidates(num, den), "a long, b long"), "may")
     ws.drop("prefixes")
-    ws.release()
 
-    texts = rows.withColumn("keeper", F.coalesce("doc_id", F.lit(NO_ID))).join(members, "keeper")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    dealt = texts.select("node", "text", "component", "block", F.inline(pairs))
-    dealt = dealt.select("node", "text", "component", "i", "j", F.when(F.col("block") == F.col("i"), 0).otherwise(1).alias("side"), (F.col("i") == F.col("j")).alias("within"))
-    dealt = dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    found = ws.write(dealt.mapInArrow(_verify(k, num, den), "a long, b long"), "links")
-    ws.release()
+    groups = components(may, ws, "candidates")
+    grouped = groups.join(classes.select(F.col("s1").alias("node"), "keeper", "n"), "node")
+    load = grouped.groupBy("component").agg(F.sum("n").alias("load"))
+    grouped = ws.write(grouped.join(load, "component").select("node", "keeper", "component", "load"), "groups").hint("shuffle_hash")
+    # Neither join may turn to a broadcast on small inputs: both sides grow with the corpus, and texts needn't be sorted.
+    texts = rows.withColumn("keeper", F.coalesce("doc_id", F.lit(NO_ID))).join(grouped, "keeper").select("node", "text", "component", "load")
+    blocks = F.when(F.col("load") <= task_shingles, 1).otherwise(F.ceil(2 * F.col("load") / task_shingles))
+    found = ws.write(dealt(texts, "component", blocks).mapInArrow(_verify(k, num, den), "a long, b long"), "links")
 
     joined = components(found, ws, "joined")
     named = joined.join(classes.select(F.col("s1").alias("node"), "keeper"), "node")
     names = named.groupBy("component").agg(F.min("keeper").alias("least"))
     named = named.join(names, "component").select(F.col("node").alias("s1"), "least")
-    classed = classes.join(named, "s1", "left").select("s1", F.coalesce("least", "keeper").alias("least"))
+    classed = ws.write(classes.join(named, "s1", "left").select("s1", F.coalesce("least", "keeper").alias("least")), "classed")
     out = sets.join(classed, "s1", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc")).otherwise(F.col("least"))
     no = F.lit(NO_ID)

@@ -179,18 +179,21 @@ def _repeats(docs: DataFrame, window: int, other: list[str], as_is: bool) -> Dat
     rows = full.select("doc_id", "text")
     halves = ws.write(rows.mapInArrow(_anchors(window), _ANCHORS), "halves")
     twice = halves.groupBy("hash", "check").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
+    twice = ws.write(twice, "twice-half")  # as a table: only a join of two exchanges can split a skewed key
     found = halves.join(twice, ["hash", "check"])
     half = F.col("check") == _HALF
     copy = ~half & (F.col("least") < F.col("doc"))
     found = found.groupBy("doc").agg(F.collect_set(F.when(half, F.col("hash"))).alias("halves"), F.collect_set(F.when(copy, F.struct("hash", "check"))).alias("copies"))
     found = ws.write(found, "found")
     ws.drop("halves")
-    keyed = full.withColumn("_doc", F.coalesce("doc_id", F.lit(NO_ID))).join(found.withColumnRenamed("doc", "_doc"), "_doc", "left").select("doc_id", "text", "rest", "halves", "copies")
+    # Hashes of a partition's documents are its small side; texts needn't be sorted.
+    keyed = full.withColumn("_doc", F.coalesce("doc_id", F.lit(NO_ID))).join(found.withColumnRenamed("doc", "_doc").hint("shuffle_hash"), "_doc", "left").select("doc_id", "text", "rest", "halves", "copies")
     extended = ws.write(keyed.mapInArrow(_extend(window), StructType([*StructType.fromDDL(_EXTENDED), kind])), "extended")
     places = extended.where(F.size("at") > 0).select("row", "doc", F.inline(F.arrays_zip("at", "hash", "check")))
     twice = places.groupBy("hash", "check").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
+    twice = ws.write(twice, "twice")
     cut = places.join(twice, ["hash", "check"]).where("least < doc").groupBy("row").agg(F.collect_list("at").alias("removed"))
-    some = extended.where(F.size("at") > 0).join(cut, "row", "left").select("doc", "n_words", "text", "whole", "removed", "rest")
+    some = extended.where(F.size("at") > 0).join(cut.hint("shuffle_hash"), "row", "left").select("doc", "n_words", "text", "whole", "removed", "rest")
     none = extended.where(F.size("at") == 0).select("doc", "n_words", "text", "whole", F.lit(None).cast("array<int>").alias("removed"), "rest")
     return some.union(none).mapInArrow(_remove(window, as_is), StructType([*StructType.fromDDL(_KEPT), kind])).withColumnRenamed("doc", "doc_id")
 

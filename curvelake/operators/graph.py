@@ -197,21 +197,18 @@ def _distance(method: int) -> Column:
     raise ValueError("method is 1 (Euclid), 2 (cosine) or 3 (Spearman)")
 
 
-def ranks(vectors: DataFrame) -> DataFrame:
-    """Vectors of average ranks."""
+def centred_ranks(vectors: DataFrame) -> DataFrame:
+    """Vectors of average ranks less their mean, which is (n + 1) / 2 whatever the values."""
     x = F.col("vector")
     below = lambda v: F.aggregate(x, F.lit(0.0), lambda s, y: s + F.when(y < v, 1.0).when(y == v, 0.5).otherwise(0.0))
-    return vectors.select("id", F.transform(x, lambda v: below(v) + 0.5).alias("vector"))
+    return vectors.select("id", F.transform(x, lambda v: below(v) - F.size(x) / 2).alias("vector"))
 
 
 def adj_matrix(vectors: DataFrame, rows: int, method: int = 1) -> DataFrame:
     """i, j, d for i < j of (id, vector array<double>): Euclid, 1 - cosine or 1 - |Spearman|, rounded to 3 places."""
     if method == 3:
-        n = F.size("vector")
-        mean = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x) / n
-        centred = ranks(vectors).select("id", "vector", mean.alias("m")).select("id", F.expr("transform(vector, x -> x - m)").alias("vector"))
         r = dot("a", "b") / (F.sqrt(dot("a", "a")) * F.sqrt(dot("b", "b")))
-        return all_pairs(centred, rows).select("i", "j", F.round(1 - F.abs(r), 3).alias("d"))
+        return all_pairs(centred_ranks(vectors), rows).select("i", "j", F.round(1 - F.abs(r) + 1e-9, 3).alias("d"))  # rank sums make exact ties at the fourth place
     return all_pairs(vectors, rows).select("i", "j", F.round(_distance(method), 3).alias("d"))
 
 

@@ -89,6 +89,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
                    sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE array_to_string([w[k] FOR k IN range(1, len(w) + 1) IF NOT list_contains(ks, k)], ' ') END) AS kept_sha256
             FROM words LEFT JOIN gone USING (doc_id)""",
+        "op4_jaccard_join": r"""
+            WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+            s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 3], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+            n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+            links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id JOIN n p ON p.doc_id = a.doc_id JOIN n q ON q.doc_id = b.doc_id
+                      GROUP BY 1, 2, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))),
+            both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+            reach AS (SELECT doc_id AS node, doc_id AS other FROM n UNION SELECT r.node, e.y FROM reach r JOIN both_ways e ON e.x = r.other),
+            least AS (SELECT node, min(other) AS c FROM reach GROUP BY 1)
+            SELECT words.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, words.doc_id) AS component_id FROM words LEFT JOIN n ON n.doc_id = words.doc_id LEFT JOIN least ON least.node = words.doc_id""",
         "op7_exact_dedup": r"""
             WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

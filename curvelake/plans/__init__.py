@@ -1,6 +1,6 @@
 """Query registries: each operator on the tables of a data folder, and the SQL that states its result."""
 
-from . import graphs, registry, signals
+from . import analyses, graphs, registry, signals
 
 
 def all_queries() -> dict[str, registry.Query]:
@@ -11,4 +11,4 @@ def all_sql() -> dict[str, str]:
     return dict(registry.SQL)
 
 
-__all__ = ["all_queries", "all_sql", "graphs", "signals"]
+__all__ = ["all_queries", "all_sql", "analyses", "graphs", "signals"]

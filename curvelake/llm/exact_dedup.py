@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shared
+from . import shared, tokens
 
 #: A null doc_id in the index: it sorts behind all others.
 NO_ID = 2**63 - 1
@@ -111,6 +111,7 @@ class ExtendibleHash:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tokens.forget()
     at = TaskContext.get().partitionId() << 33
     for batch in batches:
         groups: dict[bytes, list[int]] = {}

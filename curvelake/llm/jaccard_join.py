@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import shared, textvec
+from . import shared, textvec, tokens
 from .components import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 4, 85, 100
@@ -79,6 +79,7 @@ def _sets(k: int):
     """A row for each document; at a task's end its part of the order table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         table = np.zeros(1 << ORDER_BITS, np.int64)
         names = ["doc", "n_shingles", "s1", "s2", "slice", "counts"]
         for batch in batches:

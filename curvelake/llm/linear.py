@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shared, textvec
+from . import shared, textvec, tokens
 
 BITS = 20
 #: Labelled rows that a model is fitted on at most: those of the smallest hashes of doc_id.
@@ -133,6 +133,7 @@ def keep(docs: DataFrame, featurise: Featuriser, weights: np.ndarray, threshold:
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             text = pa.RecordBatch.from_arrays([batch.column("text").fill_null("")], names=["text"])
             for lo, hi, x in textvec.slices(text):

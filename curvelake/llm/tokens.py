@@ -7,6 +7,8 @@ Python's and the library's character classes may differ are encoded whole by the
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 from functools import cache
@@ -89,3 +91,10 @@ class Encoder:
 @cache
 def encoder(path: str) -> Encoder:
     return Encoder(path)
+
+
+def forget() -> None:
+    """Drops a worker's encoders with all their pieces: Spark reuses its workers for later steps, which need that memory."""
+    encoder.cache_clear()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone keeps freed memory until it is told
+        ctypes.CDLL(None).malloc_trim(0)

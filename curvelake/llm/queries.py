@@ -13,6 +13,7 @@ from .license_scan import license_scan
 from .packing import pack
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
+from .sentence_pieces import encode_pieces
 from .substring_dedup import digest, remove_repeats
 from .token_files import read_token_files, write_token_files
 from .toxicity import toxicity_scores
@@ -55,6 +56,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(documents(spark, sf_dir))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": op5_quality_rules,
         "op6_token_files": op6_token_files,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_sentence_pieces": op8_sentence_pieces,
         "op9_quality": op9_quality,
         "op10_license_scan": op10_license_scan,
     }

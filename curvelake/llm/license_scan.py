@@ -1,16 +1,16 @@
-"""License scans by a positional index of rare template words.
+"""License scans by a positional index of template words.
 
 Templates are characteristic stretches of license texts. The document frequency of each of their words comes from one
-pass over all documents, and gives its IDF. The index has, for every template, the positions of its words. A document's
-license words of highest IDF are looked up; each hit votes for the template and the place where it would
-then start, and votes that agree on that place, give or take a few words, align the template. An aligned template counts if
-its mandatory phrases stand in the document near it; its score is the part of its IDF mass found in place.
+pass over all documents, and gives its IDF. The index has, for every template, the positions of its words. Each template whose
+mandatory phrases stand in a document is tried by itself at all places near them: all its words vote, and votes that agree on
+a start, give or take a few words, align it. Its score is the part of its IDF mass found in place.
 Plain phrases are searched beside, by their words; their labels always stay.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -42,8 +42,8 @@ TEMPLATES = (
     ("unlicense", ("released into the public domain",), "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
 )
 
-#: Words looked up in a document, each at all its places; words by which an alignment may be off; least score of a label.
-RARE_WORDS, SLACK, LEAST_SCORE, LEAST_VOTES = 24, 3, 0.5, 3
+#: Words by which an alignment may be off; least score of a label; least votes of an alignment.
+SLACK, LEAST_SCORE, LEAST_VOTES = 3, 0.5, 3
 
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
@@ -85,36 +85,37 @@ class Index:
 
     def scan(self, words: list[bytes], line: bytes) -> dict[str, float]:
         """Labels of the aligned templates with their scores."""
-        here = set(words).intersection(self.postings)
-        if len(here) < LEAST_VOTES:
-            return {}
-        rare = sorted(here, key=lambda w: (-self.idf[w], w))[:RARE_WORDS]
-        if not any(p in line for phrases in self.phrases for p in phrases):
-            return {}
-        wanted, places = set(rare), defaultdict(list)
-        for i, w in enumerate(words):
-            if w in here:
-                places[w].append(i)
-        votes: Counter[tuple[int, int]] = Counter()
-        for w in wanted:
-            for t, k in self.postings[w]:
-                for i in places[w]:
-                    votes[t, i - k] += 1
+        places: dict[bytes, list[int]] = {}
         best: dict[str, float] = {}
-        for (t, start), n in votes.items():
-            near = sum(votes.get((t, start + d), 0) for d in range(-SLACK, SLACK + 1))
-            if near < min(LEAST_VOTES, len(self.lines[t])) or n < max(votes.get((t, start + d), 0) for d in range(-SLACK, SLACK + 1)):
+        for t, (lined, phrases) in enumerate(zip(self.lines, self.phrases)):
+            if not all(p in line for p in phrases):
                 continue
-            stretch = b" " + b" ".join(words[max(0, start - SLACK) : start + len(self.lines[t]) + SLACK]) + b" "
-            if not all(p in stretch for p in self.phrases[t]):
-                continue
-            hit = sum(self.idf[w] for k, w in enumerate(self.lines[t]) if any(words[i] == w for i in range(max(0, start + k - SLACK), min(len(words), start + k + SLACK + 1))))
-            score = min(1.0, hit / self.mass[t])
-            if score >= LEAST_SCORE:
-                label = self.templates[t][0]
-                best[label] = max(best.get(label, 0.0), score)
+            if not places:
+                for i, w in enumerate(words):
+                    if w in self.postings:
+                        places.setdefault(w, []).append(i)
+            found = [(k, places[w], self.idf[w]) for k, w in enumerate(lined) if w in places]
+            for start in self.starts(t, len(words), line):
+                near, hit = 0, 0.0
+                for k, at, idf in found:
+                    n = bisect_right(at, start + k + SLACK) - bisect_left(at, start + k - SLACK)
+                    if n:
+                        near, hit = near + n, hit + idf
+                score = min(1.0, hit / self.mass[t])
+                if near >= min(LEAST_VOTES, len(lined)) and score >= LEAST_SCORE:
+                    label = self.templates[t][0]
+                    best[label] = max(best.get(label, 0.0), score)
         return best
 
+    def starts(self, t: int, n_words: int, line: bytes) -> set[int]:
+        """Where a template may start, so that all its phrases, which are in the line, stand in its stretch."""
+        size, every = len(self.lines[t]), None
+        for p in self.phrases[t]:
+            last = size + SLACK - p.count(b" ") + 1
+            own = {s for i in _indices(line, occurrences(line, p)) for s in range(i - last, i + SLACK + 1)}
+            every = own if every is None else every & own
+        return set(range(-size, n_words)) if every is None else every
+
 
 def _frequencies(vocabulary: frozenset[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -304,6 +304,30 @@ def test_license_templates_align(spark):
     assert got.labels[1] == "bsd" and got.score[1] > 0.9 and got.labels[2] == "" and got.labels[3] == ""
 
 
+def test_license_bundle_has_every_template(spark):
+    rng = np.random.default_rng(6)
+    bundles = [license_scan.TEMPLATES, license_scan.TEMPLATES[4:], [t for t in license_scan.TEMPLATES[4:] if t[0] in ("mit", "bsd", "mpl-2.0", "lgpl", "isc")]]
+    texts = [f" {prose(rng, 30)} ".join(t[2] for t in b) for b in bundles]
+    # one word of each notice is inserted or gone
+    texts += [" ".join(w for i, w in enumerate(x.split()) if i % 23) for x in texts] + [" ".join(f"{w} odd" if i % 23 == 0 else w for i, w in enumerate(x.split())) for x in texts]
+    got = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id")
+    for k, b in enumerate(bundles):
+        assert got.labels[k] == ",".join(sorted({t[0] for t in b} | set(filter(None, got.base_labels[k].split(",")))))
+    index = license_scan.Index(frequency={b"gnu": 2, b"the": 90}, documents=100)
+    for text in texts:
+        words = license_scan.words_of(text.encode())
+        line = b" " + b" ".join(words) + b" "
+        want = {}
+        for t, (label, _, _) in enumerate(license_scan.TEMPLATES):
+            lined, slack = index.lines[t], license_scan.SLACK
+            for start in range(-len(lined), len(words)):
+                stretch = b" " + b" ".join(words[max(0, start - slack) : max(0, start + len(lined) + slack)]) + b" "
+                hits = [index.idf[w] for k, w in enumerate(lined) if w in words[max(0, start + k - slack) : max(0, start + k + slack + 1)]]
+                if all(p in stretch for p in index.phrases[t]) and len(hits) >= license_scan.LEAST_VOTES and sum(hits) / index.mass[t] >= license_scan.LEAST_SCORE:
+                    want[label] = max(want.get(label, 0.0), min(1.0, sum(hits) / index.mass[t]))
+        assert index.scan(words, line) == pytest.approx(want) and want
+
+
 # Classifiers
 
 

@@ -15,7 +15,7 @@ from ..operators import phase as ph
 from ..operators import spectral as sp
 from ..operators import stats as st
 from ..sources import trade as tr
-from .graphs import heavy, pruned, yearly
+from .graphs import pruned, yearly
 from .registry import query, rounded
 
 
@@ -87,7 +87,7 @@ def flow_analysis(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def orc_parameter_grid(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(orc_grid(heavy(spark, d), (0.25, 0.5), (0.0, 1.0)), 5)
+    return rounded(orc_grid(pruned(spark, d), (0.25, 0.5), (0.0, 1.0)), 5)
 
 
 @query()

@@ -203,3 +203,30 @@ def test_spectral_normalise_and_deletion(weighted):
     a[w.u, w.v] = a[w.v, w.u] = w.weight
     assert np.abs(np.linalg.eigvalsh(a)).max() == pytest.approx(1)
     assert sp.edge_deletion_perturbation(weighted, 12).where("chi <= 0").count() == 0
+
+
+def test_graph_queries_take_every_edge(spark, tmp_path):
+    """Trade of eight nations, one item a pair: 28 edges of weight 1, whose values are known."""
+    from curvelake.plans.registry import QUERIES
+
+    pairs = list(itertools.combinations(range(8), 2))
+    tables = {
+        "nation": ("n_nationkey int, n_regionkey int", [(i, i % 2) for i in range(8)]),
+        "customer": ("c_custkey int, c_nationkey int", [(i, i) for i in range(8)]),
+        "supplier": ("s_suppkey int, s_nationkey int", [(i, i) for i in range(8)]),
+        "orders": ("o_orderkey int, o_custkey int", [(k, u) for k, (u, _) in enumerate(pairs)]),
+        "lineitem": ("l_orderkey int, l_suppkey int, l_shipdate string", [(k, v, "1995-02-03") for k, (_, v) in enumerate(pairs)]),
+    }
+    for name, (kind, rows) in tables.items():
+        df = spark.createDataFrame(rows, kind)
+        (df.withColumn("l_shipdate", F.to_date("l_shipdate")) if name == "lineitem" else df).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {n: QUERIES[n](spark, str(tmp_path)).toPandas() for n in ("network_summary", "betweenness", "edp", "orc", "orc_flow", "ricci_flow_metric", "forman_flow", "orc_parameter_grid")}
+    assert got["network_summary"].n_edges.tolist() == [28] and got["network_summary"].is_complete.all()
+    assert len(got["betweenness"]) == 8 and (got["betweenness"].betweenness == 0).all() and (got["betweenness"].degree_centrality == 1).all()
+    assert len(got["edp"]) == 28 and got["edp"].chi.nunique() == 1
+    assert len(got["orc"]) == 28 and got["orc"].curvature.tolist() == pytest.approx([4 / 7] * 28, abs=1e-6)
+    assert len(got["orc_flow"]) == 28 and (got["orc_flow"].weight == 1).all() and got["orc_flow"].curvature.tolist() == pytest.approx([4 / 7] * 28, abs=1e-4)
+    m = got["ricci_flow_metric"]
+    assert len(m) == 64 and (m.distance == (m.i != m.j)).all()
+    assert len(got["forman_flow"]) == 28 and (got["forman_flow"].original_frc == 2 - 12).all()
+    assert len(got["orc_parameter_grid"]) == 4

@@ -284,7 +284,7 @@ def run_mixed_effects(rows: DataFrame, reml: bool = True) -> DataFrame:
 
 
 def mahalanobis(rows: DataFrame, group: str, a: str, b: str, columns: list[str]) -> DataFrame:
-    """One row: distance of two groups' means under their pooled covariance, whose moments are one aggregate."""
+    """One row: distance of two groups' means under their pooled covariance, whose moments are one aggregate, and the rows of each group."""
     pairs = [(p, q) for i, p in enumerate(columns) for q in columns[i:]]
     m = rows.where(F.col(group).isin(a, b)).groupBy(group).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m_{c}") for c in columns), *(F.covar_samp(p, q).alias(f"c_{p}_{q}") for p, q in pairs))
 
@@ -300,9 +300,9 @@ def mahalanobis(rows: DataFrame, group: str, a: str, b: str, columns: list[str])
                     one[columns.index(p), columns.index(q)] = one[columns.index(q), columns.index(p)] = pdf.loc[g, f"c_{p}_{q}"]
                 cov += (pdf.loc[g, "n"] - 1) * one
             d = mean[a] - mean[b]
-            yield pd.DataFrame({"distance": [float(np.sqrt(max(0.0, d @ np.linalg.pinv(cov / (pdf["n"].sum() - 2)) @ d)))]})
+            yield pd.DataFrame({"distance": [float(np.sqrt(max(0.0, d @ np.linalg.pinv(cov / (pdf["n"].sum() - 2)) @ d)))], "n_a": [int(pdf.loc[a, "n"])], "n_b": [int(pdf.loc[b, "n"])]})
 
-    return m.coalesce(1).mapInPandas(run, "distance double")
+    return m.coalesce(1).mapInPandas(run, "distance double, n_a long, n_b long")
 
 
 def report_json(omnibus: DataFrame, pairwise: DataFrame) -> DataFrame:

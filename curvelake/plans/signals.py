@@ -272,8 +272,10 @@ def mixed_effects(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mahalanobis(spark: SparkSession, d: str) -> DataFrame:
-    wide = tr.trials(spark, d).groupBy("dyad", "condition", "trial").pivot("window", [1, 2, 3, 4, 5]).agg(F.first("value")).na.drop()
-    return rounded(st.mahalanobis(wide.withColumnsRenamed({str(k): f"w{k}" for k in range(1, 6)}), "condition", "F", "O", [f"w{k}" for k in range(1, 6)]))
+    """Trials by what each has, whichever its windows: mean, number and spread of their values. n_a and n_b count the trials."""
+    has = [F.avg("value").alias("mean"), F.count("value").alias("n_windows"), F.stddev_pop("value").alias("spread")]
+    each = tr.trials(spark, d).groupBy("dyad", "condition", "trial").agg(*has)
+    return rounded(st.mahalanobis(each, "condition", "F", "O", ["mean", "n_windows", "spread"]))
 
 
 @query()

@@ -229,6 +229,34 @@ def test_streaming_plv_equals_batch(spark, tmp_path):
     assert want and {(r.start, r.u, r.v): round(r.plv, 9) for r in spark.table("plv_stream").collect()} == want
 
 
+@pytest.fixture(scope="module")
+def orders(spark, tmp_path_factory):
+    """25 dyads, conditions F (dear) and O, four trials of one quarter: all windows, or those of an uneven table. One order each."""
+    rng = np.random.default_rng(7)
+    out = {}
+    for name, keep in (("whole", 1.0), ("sparse", 0.3)):
+        rows = [(d, c, 1992 + t, w, float(np.round(10 ** (rng.normal(4 + (c == "F"), 0.4)), 2))) for d in range(25) for c in "FO" for t in range(4) for w in range(1, 6) if rng.random() <= keep]
+        folder = out[name] = str(tmp_path_factory.mktemp(name))
+        at = spark.createDataFrame([(d, c, f"{y}-02-03", f"{w}-X", x) for d, c, y, w, x in rows], "o_custkey int, o_orderstatus string, o_orderdate string, o_orderpriority string, o_totalprice double")
+        at.withColumn("o_orderdate", F.to_date("o_orderdate")).coalesce(1).write.parquet(f"{folder}/orders.parquet")
+        spark.createDataFrame([(d, d) for d in range(25)], "c_custkey int, c_nationkey int").coalesce(1).write.parquet(f"{folder}/customer.parquet")
+        out[f"{name} rows"] = [(d, c, y, w, round(float(np.log10(x)), 6)) for d, c, y, w, x in rows]
+    return out
+
+
+def test_mahalanobis_takes_every_trial(spark, orders):
+    from curvelake.plans.registry import QUERIES
+
+    trials = {}
+    for d, c, y, _, x in orders["sparse rows"]:
+        trials.setdefault((c, d, y), []).append(x)
+    x = {g: np.array([(np.mean(v), len(v), np.std(v)) for k, v in trials.items() if k[0] == g]) for g in "FO"}
+    cov = sum((len(v) - 1) * np.cov(v.T) for v in x.values()) / (len(x["F"]) + len(x["O"]) - 2)
+    apart = x["F"].mean(0) - x["O"].mean(0)
+    got = QUERIES["mahalanobis"](spark, orders["sparse"]).first()
+    assert (got.n_a, got.n_b) == (len(x["F"]), len(x["O"])) and got.distance == pytest.approx(np.sqrt(apart @ np.linalg.inv(cov) @ apart), abs=1e-5)
+
+
 def test_every_query_has_stable_columns(spark):
     import __spark_entry__ as entry
 

@@ -257,6 +257,21 @@ def test_mahalanobis_takes_every_trial(spark, orders):
     assert (got.n_a, got.n_b) == (len(x["F"]), len(x["O"])) and got.distance == pytest.approx(np.sqrt(apart @ np.linalg.inv(cov) @ apart), abs=1e-5)
 
 
+def test_energy_queries_take_every_row(spark, orders):
+    import json
+
+    from curvelake.plans.registry import QUERIES
+
+    f, o = (np.array([r[4] for r in orders["whole rows"] if r[1] == g]) for g in "FO")
+    assert len(f) == len(o) == 500
+    far = lambda a, b: np.abs(a[:, None] - b[None, :]).mean()
+    want = pytest.approx(np.sqrt(2 * far(f, o) - far(f, f) - far(o, o)), abs=2e-6)
+    pairs = QUERIES["pairwise_energy"](spark, orders["whole"]).collect()
+    assert [(r.freq, r.pair) for r in pairs] == [(1, "F-O")] and pairs[0].observed == want
+    told = json.loads(QUERIES["report"](spark, orders["whole"]).first().report)
+    assert told["omnibus"]["1"]["observed"] == want and json.loads(told["pairwise"]["1"])["F-O"]["observed"] == want
+
+
 def test_every_query_has_stable_columns(spark):
     import __spark_entry__ as entry
 

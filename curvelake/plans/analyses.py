@@ -102,4 +102,4 @@ def band_limited_plv(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hierarchical_summary(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(hierarchical_report(tr.trials(spark, d), ["F", "O", "P"], 10))
+    return rounded(hierarchical_report(tr.trials(spark, d), ["F", "O", "P"]))

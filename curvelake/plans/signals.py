@@ -189,6 +189,7 @@ def energy_distance(spark: SparkSession, d: str) -> DataFrame:
     return rounded(st.energy_distance(tr.trials(spark, d), "condition", ["freq"]))
 
 
+#: Of the queries whose SQL states as many; the others take their operators' defaults.
 PERMS = 20
 _UNITS = """, un AS (SELECT freq, dyad, condition, trial, dyad || '__' || condition || '__' || trial AS unit, sum(value) AS s, count(value) AS n FROM lg GROUP BY 1, 2, 3, 4),
     lab AS (SELECT DISTINCT dyad, unit, condition FROM un), pm AS (SELECT unnest(range(1, 21)) AS perm),
@@ -238,7 +239,7 @@ def perm_test_pooled(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def pairwise_energy(spark: SparkSession, d: str) -> DataFrame:
     key = F.concat_ws("|", *(F.col(c).cast("string") for c in ("dyad", "condition", "trial", "window")))
-    return rounded(st.holm(st.pairwise_energy_tests(tr.trials(spark, d), "condition", ["freq"], key, n_perms=PERMS).withColumn("family", F.lit("pairs")), ["family"]))
+    return rounded(st.holm(st.pairwise_energy_tests(tr.trials(spark, d), "condition", ["freq"], key).withColumn("family", F.lit("pairs")), ["family"]))
 
 
 @query("WITH " + LONG + """ SELECT CAST(grouping(condition) * 16 + grouping(freq) * 8 + grouping(dyad) * 4 + grouping(trial) * 2 + grouping("window") AS BIGINT) AS level, condition, freq, dyad, trial, "window", count(value) AS n, round(avg(value), 11) AS mean,
@@ -294,8 +295,8 @@ def classifier_compare(spark: SparkSession, d: str) -> DataFrame:
 def report(spark: SparkSession, d: str) -> DataFrame:
     rows = tr.trials(spark, d)
     key = F.concat_ws("|", *(F.col(c).cast("string") for c in ("dyad", "condition", "trial", "window")))
-    whole = st.holm(st.energy_test(rows, "condition", ["freq"], key, 10).withColumn("family", F.lit("o")), ["family"])
-    pairs = st.holm(st.pairwise_energy_tests(rows, "condition", ["freq"], key, n_perms=10).withColumn("family", F.lit("p")), ["family"])
+    whole = st.holm(st.energy_test(rows, "condition", ["freq"], key).withColumn("family", F.lit("o")), ["family"])
+    pairs = st.holm(st.pairwise_energy_tests(rows, "condition", ["freq"], key).withColumn("family", F.lit("p")), ["family"])
     return st.report_json(rounded(whole), rounded(pairs))
 
 

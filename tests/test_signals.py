@@ -268,8 +268,17 @@ def test_energy_queries_take_every_row(spark, orders):
     want = pytest.approx(np.sqrt(2 * far(f, o) - far(f, f) - far(o, o)), abs=2e-6)
     pairs = QUERIES["pairwise_energy"](spark, orders["whole"]).collect()
     assert [(r.freq, r.pair) for r in pairs] == [(1, "F-O")] and pairs[0].observed == want
+    assert pairs[0].n_perms == 1000 and pairs[0].p == pytest.approx(1 / 1001, abs=1e-6) and pairs[0].rejected
     told = json.loads(QUERIES["report"](spark, orders["whole"]).first().report)
     assert told["omnibus"]["1"]["observed"] == want and json.loads(told["pairwise"]["1"])["F-O"]["observed"] == want
+    assert told["omnibus"]["1"]["rejected"] and json.loads(told["pairwise"]["1"])["F-O"]["rejected"]
+
+
+def test_permutation_queries_can_reject(spark, orders):
+    from curvelake.plans.registry import QUERIES
+
+    r = QUERIES["hierarchical_summary"](spark, orders["whole"]).first()
+    assert r.p_mean == pytest.approx(1 / 2001, abs=1e-6) and r.p_energy == pytest.approx(1 / 2001, abs=1e-6) and r.rejected and r.p_null > 0
 
 
 def test_every_query_has_stable_columns(spark):

@@ -124,9 +124,12 @@ def load_results(spark: SparkSession, path: str, curvature: str) -> DataFrame:
 
 
 def save_json(rows: DataFrame, path: str) -> None:
-    """A report's few rows as one JSON file, by the driver."""
+    """A report's few rows as one JSON file, by the driver; more than 10,000 are an error."""
+    found = rows.toJSON().take(10_001)
+    if len(found) > 10_000:
+        raise ValueError("a report has at most 10,000 rows")
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps([json.loads(x) for x in rows.toJSON().take(10_000)], indent=2))
+    Path(path).write_text(json.dumps([json.loads(x) for x in found], indent=2))
 
 
 def save_centrality(table: DataFrame, path: str) -> None:

@@ -206,6 +206,14 @@ def test_sources(spark, tmp_path):
     assert src.load_config(str(tmp_path / "c.toml")) == {"a": {"b": 1}}
 
 
+def test_save_json_never_cuts(spark, tmp_path):
+    src.save_json(spark.range(10_000), f"{tmp_path}/whole.json")
+    assert (tmp_path / "whole.json").read_text().count("{") == 10_000
+    with pytest.raises(ValueError, match="at most"):
+        src.save_json(spark.range(10_001), f"{tmp_path}/cut.json")
+    assert not (tmp_path / "cut.json").exists()
+
+
 def test_classifiers_run(spark):
     rng = np.random.default_rng(0)
     rows = [(i, str(i % 2), i % 4, (rng.normal(2 * (i % 2), 1, 4)).tolist(), rng.normal(0, 1, 4).tolist()) for i in range(60)]

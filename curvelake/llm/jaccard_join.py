@@ -1,16 +1,20 @@
 """Exact Jaccard self-join of shingle sets through R-trees of count vectors.
 
-1. Sets. A text's shingles are hashed; equal sets share a 128-bit digest and are one class from here on.
+1. Sets. A text's shingles are hashed; equal sets share a 128-bit digest and are one class from here on. A class goes by the row of its
+   least document, and only that row's text is read further.
 2. Buckets. Two sets with Jaccard t or more share a shingle among the first n - ceil(t n) + 1 of each, in any common
    order of shingles. A table of fixed size counts all shingles by hash, so that the order puts frequent ones, as of passages that
    many texts share, last. Classes that share such a shingle are a bucket; buckets of the same classes are one.
-3. R-tree. A set's shingles, hashed to groups, are a point of counts. In a bucket points are packed in nodes by size; a node keeps
-   the largest count by coordinate, and the sum of coordinate minima with a query bounds the overlap with any point
-   below. Pairs that survive join candidate groups. A node whose points all belong to the query's group already is passed over, so
+3. R-tree. A set's shingles, hashed to groups, are a point of counts. A bucket's points are split at the median of their widest coordinate
+   (a group's count or the size) down to leaves, and leaves are put under inner nodes up to one root. A node keeps the largest count by
+   coordinate and the range of sizes; the sum of coordinate minima with a query bounds the overlap with any point below. A query descends from
+   the root. Pairs that survive join candidate groups. A node whose points all belong to the query's group already is passed over, so
    a cluster of near copies costs an edge each and not all its pairs.
 4. Verification. Only the texts of candidate groups are read again. The same tree finds the pairs of a group, and their shingles are
    intersected, again but for pairs that are in one component already.
-5. Buckets and groups beyond a task's share are dealt into blocks, and each pair of blocks is one task: exact at any size.
+5. Buckets and groups beyond a task's share: in salted parts each member first meets a few pivots of its group and takes the label of one
+   that it links with. Members are then dealt into blocks by label, and each pair of blocks is one task but those of one label, which
+   need no further link. A cluster of near copies of any size is thus one pass, and the rest is exact at any size.
 6. Links make components; the least doc_id names each.
 """
 
@@ -20,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,12 +32,14 @@ from . import shared, textvec, tokens
 from .components import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 4, 85, 100
-GROUPS, LEAF = 256, 32
+GROUPS, LEAF, FAN = 256, 16, 8
 #: Counters of the table that orders shingles.
 ORDER_BITS, SLICE = 18, 1 << 14
 #: Shingles of a candidate group, and classes of a bucket, that one task holds; larger ones are dealt into blocks of half of it.
-TASK_SHINGLES, TASK_CLASSES = 2_000_000, 20_000
-NO_ID = 2**63 - 1
+TASK_SHINGLES, TASK_CLASSES = 2_000_000, 1000
+#: Members of a larger group that all its others meet first.
+PIVOTS = 4
+NO_ID = shared.NO_ID
 _SECOND = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -54,7 +60,7 @@ def shingle_sets(x: textvec.Texts, k: int = SHINGLE) -> tuple[np.ndarray, np.nda
         whole = np.zeros(len(short), np.uint64)
         for j in range(k - 1):
             have = n[short] > j
-            whole[have] = textvec.mix(whole[have] * textvec.WORD_BASE + h[w.docs[short[have]] + j])
+            whole[have] = textvec.mix(textvec.mix(whole[have]) + h[w.docs[short[have]] + j])
         doc, found = np.concatenate([doc, short]), np.concatenate([found, textvec.mix(whole ^ n[short].astype(np.uint64))])
     order = np.lexsort((found, doc))
     doc, found = doc[order], found[order]
@@ -72,7 +78,7 @@ def prefix_length(n: np.ndarray, num: int = NUMERATOR, den: int = DENOMINATOR) -
     return n - -(-num * n // den) + 1
 
 
-_SETS = "doc long, n_shingles long, s1 long, s2 long, slice int, counts binary"
+_SETS = "row long, doc long, n_shingles long, s1 long, s2 long, slice int, counts binary"
 
 
 def _sets(k: int):
@@ -81,18 +87,18 @@ def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.forget()
         table = np.zeros(1 << ORDER_BITS, np.int64)
-        names = ["doc", "n_shingles", "s1", "s2", "slice", "counts"]
+        names = ["row", "doc", "n_shingles", "s1", "s2", "slice", "counts"]
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(NO_ID)
+            rows, ids = batch.column("row"), batch.column("doc")
             for lo, hi, x in textvec.slices(batch):
                 g, at = shingle_sets(x, k)
                 table += np.bincount((g >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=1 << ORDER_BITS)
                 s = [digests(g, at, c).view(np.int64) for c in (np.uint64(0), _SECOND)]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(np.diff(at), pa.int64()), pa.array(s[0]), pa.array(s[1]), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([rows.slice(lo, hi - lo), ids.slice(lo, hi - lo), pa.array(np.diff(at), pa.int64()), pa.array(s[0]), pa.array(s[1]), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names=names)
         if table.any():
             n = len(table) // SLICE
             parts = pa.array([x.astype("<u4").tobytes() for x in table.reshape(n, SLICE)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 4, pa.array(range(n), pa.int32()), parts], names=names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 5, pa.array(range(n), pa.int32()), parts], names=names)
 
     return run
 
@@ -136,56 +142,81 @@ def unpacked(raw: bytes, groups: int = GROUPS) -> np.ndarray:
 
 
 def _prefixes(k: int, num: int, den: int, sent):
-    """Each set's rarest shingles with its class, and its point; a task leaves out sets that it has seen."""
+    """Each class's rarest shingles, and its point."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = sent.value, set()
+        table, names = sent.value, ["key", "node", "point"]
         for batch in batches:
-            for _, _, x in textvec.slices(batch):
+            nodes = batch.column("node").to_numpy()
+            for lo, hi, x in textvec.slices(batch):
                 g, at = shingle_sets(x, k)
-                s, n = digests(g, at, np.uint64(0)).view(np.int64), np.diff(at)
-                fresh = np.zeros(len(n), bool)
-                for d in np.flatnonzero(n).tolist():
-                    if int(s[d]) not in seen:
-                        seen.add(int(s[d]))
-                        fresh[d] = True
+                n, own = np.diff(at), nodes[lo:hi]
                 counts = points(g, at)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.array(own), pa.array([packed(p) for p in counts], pa.binary())], names=names)
                 doc = np.repeat(np.arange(len(n)), n)
-                kept = fresh[doc]
-                doc, g = doc[kept], g[kept]
                 rank = table[(g >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
                 order = np.lexsort((g, rank, doc))
                 doc, g = doc[order], g[order]
                 place = np.arange(len(g)) - np.searchsorted(doc, doc)
                 first = place < prefix_length(n, num, den)[doc]
-                key, node = g[first].view(np.int64), s[doc[first]]
+                key, node = g[first].view(np.int64), own[doc[first]]
                 for a in range(0, len(key), 50_000):
                     part = pa.array(key[a : a + 50_000])
-                    yield pa.RecordBatch.from_arrays([part, pa.array(node[a : a + 50_000]), pa.nulls(len(part), pa.binary())], names=["key", "node", "point"])
-                new = np.flatnonzero(fresh)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(new), pa.int64()), pa.array(s[new]), pa.array([packed(p) for p in counts[new]], pa.binary())], names=["key", "node", "point"])
+                    yield pa.RecordBatch.from_arrays([part, pa.array(node[a : a + 50_000]), pa.nulls(len(part), pa.binary())], names=names)
 
     return run
 
 
+def tiles(points: np.ndarray, leaf: int) -> list[np.ndarray]:
+    """Points in spatial order: each part is split at the median of its widest coordinate until it is a leaf."""
+    out, todo = [], [np.arange(len(points))]
+    while todo:
+        part = todo.pop()
+        if len(part) <= leaf:
+            out.append(part)
+            continue
+        p = points[part]
+        wide = int((p.max(0) - p.min(0)).argmax())
+        order = part[np.argsort(p[:, wide], kind="stable")]
+        # Halves that fill whole leaves.
+        cut = max(leaf, -(-len(part) // (2 * leaf)) * leaf)
+        todo += [order[cut:], order[:cut]]
+    return out
+
+
 class CountTree:
-    """Points of one block, packed in nodes by size."""
+    """R-tree of points, packed from the leaves up; the last coordinate of a point inside is its size."""
 
-    def __init__(self, points: np.ndarray, leaf: int = LEAF) -> None:
+    def __init__(self, points: np.ndarray, leaf: int = LEAF, fan: int = FAN) -> None:
         self.points, self.size = points, points.sum(1)
-        order = np.lexsort((points[:, 0], self.size))
-        self.leaves = [order[i : i + leaf] for i in range(0, len(points), leaf)]
-        self.most = np.array([points[x].max(0) for x in self.leaves])
-        self.low, self.high = (np.array([f(self.size[x]) for x in self.leaves]) for f in (np.min, np.max))
+        self.leaves = tiles(np.column_stack([points, self.size]), leaf) if len(points) else []
         self.leaf_of = np.empty(len(points), np.int64)
         for i, x in enumerate(self.leaves):
             self.leaf_of[x] = i
+        most = np.array([points[x].max(0) for x in self.leaves])
+        low, high = (np.array([f(self.size[x]) for x in self.leaves]) for f in (np.min, np.max))
+        #: From the leaves to the root: largest counts, least and greatest size of each node. A node's children are `fan` in a row.
+        self.levels = [(most, low, high)]
+        self.fan, self.visited = fan, 0
+        while len(low) > 1:
+            at = np.arange(0, len(low), fan)
+            most, low, high = np.maximum.reduceat(most, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
+            self.levels.append((most, low, high))
 
     def near(self, point: np.ndarray, n: int, skip: np.ndarray, num: int, den: int) -> np.ndarray:
-        """Points that may overlap enough with a set of n shingles; skip: by leaf, whether to pass it over."""
-        nodes = np.flatnonzero(~skip & (den * self.high >= num * n) & (num * self.low <= den * n))
-        bound = np.minimum(self.most[nodes], point).sum(1)
-        nodes = nodes[bound >= least_overlap(np.maximum(self.low[nodes], -(-num * n // den)), n, num, den)]
+        """Points that may overlap enough with a set of n shingles, from the root down; skip: by leaf, whether to pass it over."""
+        nodes = np.zeros(1 if self.leaves else 0, np.int64)
+        for depth in range(len(self.levels) - 1, -1, -1):
+            most, low, high = self.levels[depth]
+            if depth == 0:
+                nodes = nodes[~skip[nodes]]
+            self.visited += len(nodes)
+            nodes = nodes[(den * high[nodes] >= num * n) & (num * low[nodes] <= den * n)]
+            bound = np.minimum(most[nodes], point).sum(1)
+            nodes = nodes[bound >= least_overlap(np.maximum(low[nodes], -(-num * n // den)), n, num, den)]
+            if depth:
+                nodes = (nodes[:, None] * self.fan + np.arange(self.fan)).reshape(-1)
+                nodes = nodes[nodes < len(self.levels[depth - 1][1])]
         if not len(nodes):
             return nodes
         at = np.concatenate([self.leaves[i] for i in nodes.tolist()])
@@ -247,134 +278,197 @@ def may_link(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * min(n, m) >= num * max(n, m) and int(np.minimum(a, b).sum()) >= least_overlap(n, m, num, den)
 
 
-def _candidates(num: int, den: int):
-    """Rows ordered by bucket and pair of blocks; of each such task the pairs that the bound leaves, as a forest."""
+class Bound:
+    """Candidates: sets are known by their points, and what the bound leaves is linked."""
 
-    def solve(nodes: tuple[list, list], at: tuple[list, list], within: bool) -> list[tuple[int, int]]:
-        if not at[0] or not (within or at[1]):
-            return []
-        if within and len(at[0]) == 2:
-            return [tuple(nodes[0])] if may_link(*at[0], num, den) else []
-        found = forest(np.array(at[0]), None if within else np.array(at[1]), lambda q, j: True, num, den)
-        return [(nodes[0][a], nodes[not within][b]) for a, b in found]
+    def __init__(self, num: int, den: int) -> None:
+        self.num, self.den = num, den
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, at, out = None, ([], []), ([], []), set()
-        for batch in batches:
-            for bucket, i, j, node, side, point in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "node", "side", "point"))):
-                if (bucket, i, j) != now:
-                    if now:
-                        out.update(solve(nodes, at, now[1] == now[2]))
-                    now, nodes, at = (bucket, i, j), ([], []), ([], [])
-                nodes[side].append(node)
-                at[side].append(unpacked(point))
-        if now:
-            out.update(solve(nodes, at, now[1] == now[2]))
-        pairs = list(out)
-        for a in range(0, len(pairs), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs[a : a + 50_000])], names=["a", "b"])
+    def read(self, batch: pa.RecordBatch) -> list:
+        return [unpacked(p) for p in batch.column("point").to_pylist()]
 
-    return run
+    def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
+        return may_link(a, b, self.num, self.den)
 
+    def forest(self, left: list, right: list | None) -> list[tuple[int, int]]:
+        if right is None and len(left) == 2:
+            return [(0, 1)] if self.linked(*left) else []
+        return forest(np.array(left), None if right is None else np.array(right), lambda q, j: True, self.num, self.den)
 
-def dealt(rows: DataFrame, by: str, blocks: Column) -> DataFrame:
-    """Each row for every pair of blocks (i, j) that its block is in, ordered by task; side: whether it is j's and not i's."""
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    rows = rows.withColumn("blocks", blocks.cast("int")).withColumn("block", block).select("*", F.inline(pairs))
-    rows = rows.withColumn("side", F.when(F.col("block") == F.col("i"), 0).otherwise(1)).drop("block", "blocks")
-    return rows.repartition(by, "i", "j").sortWithinPartitions(by, "i", "j")
 
+class Exact:
+    """Links: sets are the shingles of whole texts."""
 
-def _verify(k: int, num: int, den: int):
-    """Rows ordered by candidate group and pair of blocks; of each such task its links, within a block or between two."""
+    def __init__(self, k: int, num: int, den: int) -> None:
+        self.k, self.num, self.den = k, num, den
+
+    def read(self, batch: pa.RecordBatch) -> list:
+        out = []
+        for _, _, x in textvec.slices(batch):
+            g, at = shingle_sets(x, self.k)
+            out += [g[a:b].copy() for a, b in zip(at, at[1:])]
+        return out
+
+    def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
+        i = overlap(a, b)
+        return self.den * i >= self.num * (len(a) + len(b) - i)
+
+    def forest(self, left: list, right: list | None) -> list[tuple[int, int]]:
+        return links(left, right, self.num, self.den)
+
+
+def _pairs(out: set | list) -> Iterator[pa.RecordBatch]:
+    out = list(out)
+    for a in range(0, len(out), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[a : a + 50_000])], names=["a", "b"])
+
+
+def _solve(kind: Bound | Exact):
+    """Rows ordered by group and pair of blocks; of each such task the links, within a block or between two, as a forest."""
 
     def solve(nodes: tuple[list, list], sets: tuple[list, list], within: bool) -> list[tuple[int, int]]:
         if not sets[0] or not (within or sets[1]):
             return []
-        found = links(sets[0], None if within else sets[1], num, den)
-        return [(nodes[0][a], nodes[not within][b]) for a, b in found]
+        return [(nodes[0][a], nodes[not within][b]) for a, b in kind.forest(sets[0], None if within else sets[1])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, sets, out = None, ([], []), ([], []), []
+        now, nodes, sets, out = None, ([], []), ([], []), set()
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("component", "i", "j"))))
-            node, side = batch.column("node").to_pylist(), batch.column("side").to_pylist()
-            for lo, hi, x in textvec.slices(batch):
-                g, at = shingle_sets(x, k)
-                s = digests(g, at, np.uint64(0)).view(np.int64).tolist()
-                for d in range(hi - lo):
-                    if keys[lo + d] != now:
-                        if now:
-                            out += solve(nodes, sets, now[1] == now[2])
-                        now, nodes, sets = keys[lo + d], ([], []), ([], [])
-                    if s[d] == node[lo + d]:  # else a row that shares its doc_id with the class's
-                        nodes[side[lo + d]].append(s[d])
-                        sets[side[lo + d]].append(g[at[d] : at[d + 1]].copy())
+            for *key, node, side, value in zip(*(batch.column(c).to_pylist() for c in ("grp", "i", "j", "node", "side")), kind.read(batch)):
+                if key != now:
+                    if now:
+                        out.update(solve(nodes, sets, now[1] == now[2]))
+                    now, nodes, sets = key, ([], []), ([], [])
+                nodes[side].append(node)
+                sets[side].append(value)
         if now:
-            out += solve(nodes, sets, now[1] == now[2])
-        for a in range(0, len(out), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[a : a + 50_000])], names=["a", "b"])
+            out.update(solve(nodes, sets, now[1] == now[2]))
+        yield from _pairs(out)
 
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, task_shingles: int = TASK_SHINGLES, task_classes: int = TASK_CLASSES) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs; documents link at Jaccard num / den or more.
+def _meet(kind: Bound | Exact):
+    """Rows ordered by group and salt, pivots first: the first pivot that each member links with, a pivot's own first one or itself, and as
+    label the pivot that stands for it and those linked with it."""
 
-    A-Z are lower-cased; words are `[^\\x20\\x09-\\x0D]+`, shingles k words, or all of fewer. A null or empty text, or one without words, has no shingles
-    and is linked with nothing. A null doc_id sorts behind all others; a component of such rows alone has a null id.
-    Rows that repeat a text are linked, also those that repeat a doc_id. Columns beside doc_id and text are ignored; an empty table
-    gives an empty result.
-    """
-    spark = docs.sparkSession
-    ws = shared.Workspace(spark, "jaccard")
-    rows = shared.texts(docs)
-    sets = ws.write(rows.mapInArrow(_sets(k), _SETS), "sets")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pivots = None, []
+        for batch in batches:
+            out = []
+            for *key, node, weight, pivot, value in zip(*(batch.column(c).to_pylist() for c in ("grp", "salt", "node", "weight", "pivot")), kind.read(batch)):
+                if key != now:
+                    now, pivots = key, []
+                hit = next(((p, label) for p, v, label in pivots if p != node and kind.linked(v, value)), (None, None))
+                if pivot:
+                    pivots.append((node, value, node if hit[0] is None else hit[1]))
+                else:
+                    own = next((label for p, _, label in pivots if p == node), None)
+                    out.append((key[0], node, weight, hit[0], hit[1] if own is None else own))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["grp", "node", "weight", "pivot", "label"])
+
+    return run
+
+
+def linked(ws: shared.Workspace, name: str, members: DataFrame, payload: DataFrame, limit: int, kind: Bound | Exact) -> DataFrame:
+    """Links (a, b) with the components of each group's members. members: grp, node, weight, load (its group's weight); payload: node and
+    what `kind` reads. A group of at most `limit` is one task; larger ones meet pivots, then are dealt into pairs of blocks."""
+    payload = payload.hint("shuffle_hash") if "point" in payload.columns else payload
+    value = payload.columns[1]
+    small = members.where(F.col("load") <= limit).join(payload, "node").select("grp", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", F.lit(0).alias("side"), value)
+    found = ws.write(small.repartition("grp").sortWithinPartitions("grp").mapInArrow(_solve(kind), "a long, b long"), name)
+    large = members.where(F.col("load") > limit)
+    if large.isEmpty():
+        return found
+    h = F.xxhash64("node")
+    least = large.groupBy("grp").agg(F.max("load").alias("load"), *(F.min(F.when(F.pmod(h, F.lit(PIVOTS)) == p, F.struct(h, "node"))).alias(f"p{p}") for p in range(PIVOTS)))
+    salts = F.ceil(2 * F.col("load") / limit).cast("int")
+    each = F.explode(F.sequence(F.lit(0), salts - 1))
+    pivots = least.select("grp", each.alias("salt"), F.explode(F.array(*(F.col(f"p{p}.node") for p in range(PIVOTS)))).alias("node"))
+    pivots = pivots.where("node is not null").select("grp", "salt", "node", F.lit(0).cast("long").alias("weight"), F.lit(True).alias("pivot"))
+    met = large.select("grp", F.pmod(F.xxhash64("node", F.lit(1)), salts).cast("int").alias("salt"), "node", "weight", F.lit(False).alias("pivot"))
+    met = met.union(pivots).join(payload, "node").repartition("grp", "salt").sortWithinPartitions("grp", "salt", F.desc("pivot"), "node")
+    met = ws.write(met.mapInArrow(_meet(kind), "grp long, node long, weight long, pivot long, label long"), f"{name}-met")
+    share = met.groupBy("grp", "label").agg(F.ceil(2 * F.sum("weight") / limit).cast("int").alias("blocks"))
+    same = met.alias("m").join(share.alias("s"), (F.col("m.grp") == F.col("s.grp")) & F.col("m.label").eqNullSafe(F.col("s.label")))
+    dealt = ws.write(same.select("m.grp", "m.node", "m.label", F.pmod(F.xxhash64("m.node", F.lit(2)), F.col("blocks")).cast("int").alias("part")), f"{name}-dealt")
+    blocks = dealt.groupBy("grp", "label", "part").agg(F.min("node").alias("block"))
+    both = blocks.alias("x").join(blocks.alias("y"), "grp").where("x.block <= y.block and (x.label <=> y.label) = (x.label is null and y.label is null)")
+    tasks = both.select("grp", F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+    ends = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", F.lit(0).alias("side")))).otherwise(F.array(F.struct("i", F.lit(0).alias("side")), F.struct(F.col("j").alias("i"), F.lit(1).alias("side"))))
+    tasks = tasks.select("grp", F.col("i").alias("ti"), F.col("j").alias("tj"), F.inline(ends)).select("grp", "ti", "tj", F.col("i").alias("block"), "side")
+    placed = dealt.alias("d").join(blocks.alias("b"), (F.col("d.grp") == F.col("b.grp")) & F.col("d.label").eqNullSafe(F.col("b.label")) & (F.col("d.part") == F.col("b.part"))).select("d.grp", "d.node", "b.block")
+    rows = placed.join(tasks, ["grp", "block"]).join(payload, "node").select("grp", F.col("ti").alias("i"), F.col("tj").alias("j"), "node", "side", value)
+    rest = ws.write(rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_solve(kind), "a long, b long"), f"{name}-rest")
+    ws.drop(f"{name}-dealt")
+    labels = met.where("pivot is not null").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    return found.union(rest).union(labels)
+
+
+def _classed(docs: shared.Numbered, k: int, num: int, den: int, task_shingles: int, task_classes: int) -> DataFrame:
+    """row, doc, n_shingles, and doc and row of the least document of its component, of every row."""
+    ws, spark = docs.ws, docs.table.sparkSession
+    sets = ws.write(docs.texts().mapInArrow(_sets(k), _SETS), "sets")
     table = order_table(sets.where("counts is not null").select("slice", "counts"))
-    sets = sets.where("counts is null").select("doc", "n_shingles", "s1", "s2")
-    classes = sets.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc").alias("keeper"), F.max("n_shingles").alias("n"))
-    classes = ws.write(classes, "classes")
-    if classes.groupBy("s1").count().where("count > 1").limit(1).count():
-        raise ValueError("two different sets share a 64-bit digest; change textvec's seed")
+    sets = sets.where("counts is null").select("row", "doc", "n_shingles", "s1", "s2")
+    least = F.min(F.struct("doc", "row"))
+    classes = sets.where("n_shingles > 0").groupBy("s1", "s2").agg(least.alias("keeper"), F.max("n_shingles").alias("n"))
+    classes = ws.write(classes.select("s1", "s2", "keeper.doc", F.col("keeper.row").alias("node"), "n"), "classes")
+    # Neither this join nor that of the groups may turn to a broadcast on small inputs: both sides grow with the corpus.
+    texts = docs.texts().join(classes.select("node").hint("shuffle_hash"), F.col("row") == F.col("node")).select("node", "text")
+    texts = ws.write(texts, "texts")
 
     sent = spark.sparkContext.broadcast(table)
-    prefixes = ws.write(rows.mapInArrow(_prefixes(k, num, den, sent), "key long, node long, point binary"), "prefixes")
+    prefixes = ws.write(texts.mapInArrow(_prefixes(k, num, den, sent), "key long, node long, point binary"), "prefixes")
     keyed = prefixes.where("key is not null").select("key", "node")
-    # Sums of two halves of a hash name a bucket's classes; one that several tasks send counts as often, and its bucket comes twice at worst.
+    # Sums of two halves of a hash name a bucket's classes.
     h = F.xxhash64("node")
     halves = F.sum(h.bitwiseAND(2**31 - 1)).alias("x"), F.sum(F.shiftrightunsigned(h, 33)).alias("y")
     repeats = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most"), *halves).where("least < most")
     buckets = repeats.withColumn("bucket", F.min("key").over(Window.partitionBy("n", "least", "most", "x", "y"))).where("key = bucket").select("key", "n").hint("merge")
-    members = keyed.join(buckets, "key").groupBy(F.col("key").alias("bucket"), "node").agg(F.max("n").alias("n"))
-    members = ws.write(members, "buckets")
-    point = prefixes.where("point is not null").select("node", "point").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    blocks = F.when(F.col("n") <= task_classes, 1).otherwise(F.ceil(2 * F.col("n") / task_classes))
-    may = ws.write(dealt(members.join(point, "node"), "bucket", blocks).mapInArrow(_candidates(num, den), "a long, b long"), "may")
-    ws.drop("prefixes")
-
+    members = ws.write(keyed.join(buckets, "key").select(F.col("key").alias("grp"), "node", F.lit(1).cast("long").alias("weight"), F.col("n").alias("load")), "buckets")
+    may = linked(ws, "may", members, prefixes.where("point is not null").select("node", "point"), task_classes, Bound(num, den))
     groups = components(may, ws, "candidates")
-    grouped = groups.join(classes.select(F.col("s1").alias("node"), "keeper", "n"), "node")
-    load = grouped.groupBy("component").agg(F.sum("n").alias("load"))
-    grouped = ws.write(grouped.join(load, "component").select("node", "keeper", "component", "load"), "groups").hint("shuffle_hash")
-    # Neither join may turn to a broadcast on small inputs: both sides grow with the corpus, and texts needn't be sorted.
-    texts = rows.withColumn("keeper", F.coalesce("doc_id", F.lit(NO_ID))).join(grouped, "keeper").select("node", "text", "component", "load")
-    blocks = F.when(F.col("load") <= task_shingles, 1).otherwise(F.ceil(2 * F.col("load") / task_shingles))
-    found = ws.write(dealt(texts, "component", blocks).mapInArrow(_verify(k, num, den), "a long, b long"), "links")
+    ws.drop("prefixes", "buckets", "may", "may-met", "may-rest")
 
+    grouped = groups.join(classes.select("node", F.col("n").alias("weight")), "node")
+    load = grouped.groupBy("component").agg(F.sum("weight").alias("load"))
+    grouped = ws.write(grouped.join(load, "component").select(F.col("component").alias("grp"), "node", "weight", "load"), "groups")
+    found = linked(ws, "links", grouped.hint("shuffle_hash"), texts, task_shingles, Exact(k, num, den))
     joined = components(found, ws, "joined")
-    named = joined.join(classes.select(F.col("s1").alias("node"), "keeper"), "node")
-    names = named.groupBy("component").agg(F.min("keeper").alias("least"))
-    named = named.join(names, "component").select(F.col("node").alias("s1"), "least")
-    classed = ws.write(classes.join(named, "s1", "left").select("s1", F.coalesce("least", "keeper").alias("least")), "classed")
-    out = sets.join(classed, "s1", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc")).otherwise(F.col("least"))
+    ws.drop("texts", "groups", "links", "links-met", "links-rest")
+    named = joined.join(classes.select("node", "doc"), "node")
+    names = named.groupBy("component").agg(F.min(F.struct("doc", F.col("node").alias("row"))).alias("least"))
+    named = named.join(names, "component").select("node", "least")
+    classed = classes.join(named, "node", "left").select("s1", "s2", F.coalesce("least", F.struct("doc", F.col("node").alias("row"))).alias("least"))
+    out = sets.join(ws.write(classed, "classed"), ["s1", "s2"], "left")
+    ws.drop("classes")
+    alone = F.col("n_shingles") == 0
+    return out.select("row", "doc", "n_shingles", *(F.when(alone, F.col(c)).otherwise(F.col(f"least.{c}")).alias(f"least_{c}") for c in ("doc", "row")))
+
+
+def jaccard_components(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, task_shingles: int = TASK_SHINGLES, task_classes: int = TASK_CLASSES) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of docs; documents link at Jaccard num / den or more.
+
+    A-Z are lower-cased; words are `[^\x20\x09-\x0D]+`, shingles k words, or all of fewer. A null or empty text, or one without words, has no shingles
+    and is linked with nothing. A null doc_id sorts behind all others; a component of such rows alone has a null id.
+    Rows that repeat a text are linked, also those that repeat a doc_id. Long texts are handled whole. Columns beside doc_id and text are
+    ignored; an empty table gives an empty result.
+    """
+    rows, doc, text = shared.unnamed(docs)
+    numbered = shared.Numbered(shared.Workspace(docs.sparkSession, "jaccard"), rows.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")))
+    out = _classed(numbered, k, num, den, task_shingles, task_classes)
+    numbered.drop()
     no = F.lit(NO_ID)
-    return out.select(F.nullif("doc", no).alias("doc_id"), "n_shingles", F.nullif(component, no).alias("component_id"))
+    return out.select(F.nullif("doc", no).alias("doc_id"), "n_shingles", F.nullif("least_doc", no).alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id names their component; rows without doc_id stay."""
-    gone = jaccard_components(docs, **parameters).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("named"))
-    gone = gone.where(F.col("doc_id").isNotNull() & ~F.col("named")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+def near_dedup(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, task_shingles: int = TASK_SHINGLES, task_classes: int = TASK_CLASSES) -> DataFrame:
+    """Of the rows of docs, all columns, one of each component: that of the least doc_id, any one of its rows if several have that.
+
+    Null and repeated doc_ids, null, empty and long texts are as in jaccard_components: rows without a word are linked with nothing and stay.
+    """
+    numbered = shared.Numbered(shared.Workspace(docs.sparkSession, "jaccard"), docs)
+    kept = _classed(numbered, k, num, den, task_shingles, task_classes).where("row = least_row").select("row")
+    return numbered.named(numbered.table.join(kept, "row", "left_semi"))

@@ -33,9 +33,7 @@ def shapes(w: textvec.Words) -> np.ndarray:
     new = np.append(True, kind[1:] != kind[:-1])
     new[w.starts] = True
     rank = np.cumsum(new) - 1
-    p, inverse = textvec.powers(len(kind) + 1)
-    sums = textvec.prefix(np.where(new, textvec.BYTE[kind] * p[rank], np.uint64(0)))
-    return textvec.mix((sums[w.ends] - sums[w.starts]) * inverse[rank[w.starts]])
+    return textvec.spans(kind[new], rank[w.starts], rank[w.ends - 1] + 1)
 
 
 def features(x: textvec.Texts) -> linear.Triples:

@@ -12,10 +12,12 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+#: A null doc_id inside an operator: it sorts behind all others.
+NO_ID = 2**63 - 1
 _CLEANUP, _BATCH, BATCH_BYTES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
@@ -51,7 +53,12 @@ class Workspace:
             self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(to)
 
-    def drop(self, name: str = "") -> None:
+    def drop(self, *names: str) -> None:
+        """The named tables, whose last reader has run; the whole folder without a name."""
+        for name in names or ("",):
+            self._drop(name)
+
+    def _drop(self, name: str) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -62,15 +69,46 @@ class Workspace:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of whole texts by bytes: 10,000 rows of them would fill a worker's memory. A setting of the user's own stays."""
+    """Arrow batches of whole texts by bytes: 10,000 rows of them would fill a worker's memory. A setting of the user's own stays.
+
+    Plans read the setting when they run, so it can't be put back here: the session keeps it.
+    """
     if spark.conf.get(_BATCH).removesuffix("b") == str(64 << 20):
         spark.conf.set(_BATCH, BATCH_BYTES)
 
 
+def unnamed(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with columns c0, c1, ..., and which of them are doc_id and text: no name of its columns can clash with ours."""
+    c = docs.columns
+    return docs.toDF(*(f"c{i}" for i in range(len(c)))), f"c{c.index('doc_id')}", f"c{c.index('text')}"
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, a null text as an empty one: other columns never reach the executors."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows, doc, text = unnamed(docs)
+    return rows.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+
+
+class Numbered:
+    """docs as a table whose rows have ids of their own: doc_ids may be null or come twice, and a recomputed row keeps its id."""
+
+    def __init__(self, ws: Workspace, docs: DataFrame) -> None:
+        small_batches(docs.sparkSession)
+        self.ws, self.names, self.schema = ws, docs.columns, docs.schema
+        rows, self.doc, self.text = unnamed(docs)
+        self.table = ws.write(rows.select(F.monotonically_increasing_id().alias("row"), "*"), "rows")
+
+    def texts(self, *more: Column) -> DataFrame:
+        """row, doc (a null doc_id as NO_ID), text (null as empty) and what else is asked for."""
+        return self.table.select("row", F.coalesce(F.col(self.doc).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(self.text, F.lit("")).alias("text"), *more)
+
+    def named(self, rows: DataFrame) -> DataFrame:
+        """Rows of the table under their own names."""
+        return rows.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(self.names)))
+
+    def drop(self) -> None:
+        self.ws.drop("rows")
 
 
 def held_out(doc_id: F.Column) -> F.Column:

@@ -1,16 +1,19 @@
 """Removal of repeated passages by level-wise doubling of word windows.
 
-A window of `window` words can only be repeated if both its halves, and all half-length windows in it, are. So:
-
-1. Half-length windows. Of the half windows in any full one, the one of least hash is an anchor; two equal full windows have
-   the same anchor. Anchors that occur in one document alone go, and with them every full window that has one.
-   The hash of a whole text is looked up with them: a copy of a smaller doc_id's text is covered as a whole and goes no further.
-2. Doubled windows. What survives is extended to full length and hashed with 96 bits. Per hash the least and
-   greatest doc_id are kept; a window is repeated where they differ.
-3. The survivors' places go back to their documents, and words under a window that a smaller doc_id has are removed.
-
-Counts of a hash are partial aggregates before any shuffle, and places join the hashes by a sort-merge join
-whose skewed keys Spark splits: no key's occurrences are ever needed in one task.
+A window of `window` words can only be repeated if its halves, their halves and so on are. So, from the shortest length on:
+
+1. Levels. In each full window that is still a candidate, the window of the level's length with the least hash is its anchor; equal full
+   windows have equal anchors. Anchors that occur in one document alone go, and with them every full window that has one. The
+   others are extended: at the next level, of twice the length, only anchors of the remaining candidates count. The loop ends at the
+   length asked for, or as soon as no candidate is left. Longer repeats are runs of full windows.
+2. Full windows. What survives is hashed with 128 bits, of which the second half comes from the bytes by another seed.
+   Per hash the least and greatest doc_id are kept; a window is repeated where they differ.
+3. The survivors' places go back to their rows, and words under a window that a smaller doc_id has are removed.
+
+A copy of a smaller doc_id's whole text (its words, by 128 bits of xxh3) is covered as a whole and leaves before the first level.
+The anchors of all levels are found in one pass over the texts; the levels then handle anchors alone. Counts of a hash are partial aggregates
+before any shuffle, and places join the hashes by a sort-merge join whose skewed keys Spark splits: no key's occurrences are ever needed in
+one task. All tables are keyed by row, so null and repeated doc_ids are no hot keys.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -27,92 +30,136 @@ from pyspark.sql.types import StructType
 from . import shared, textvec
 
 WINDOW = 50
-#: A null doc_id: no document is smaller for it, and it is smaller than none.
-NO_ID = 2**63 - 1
-_CHECK, _CHECK_BASE = np.uint64(0x5851F42D4C957F2D), np.uint64(0xAF251AF3B0F025B5)
+#: Levels start at the least length from here on that doubles to the window.
+SHORTEST = 12
+NO_ID = shared.NO_ID
+
 
+def levels(window: int = WINDOW, shortest: int = SHORTEST) -> list[int]:
+    """Lengths of the levels below the full window's, ascending, each the larger half of the next."""
+    return textvec.halves(window, shortest)[:-1]
 
-def least_halves(g: np.ndarray, docs: np.ndarray, window: int) -> np.ndarray:
-    """By position of a full window: the least of its half windows g, or 0 where it would leave its document."""
-    low = textvec.sliding(g, window - window // 2 + 1, True)
-    return np.where(textvec.inside(docs, window, len(low)), low, 0).astype(np.uint64)
 
+def anchors(g: np.ndarray, size: int, window: int) -> np.ndarray:
+    """By position of a full window: the least hash g of its windows of `size` words."""
+    return textvec.sliding(g, window - size + 1, True)
 
-class Hashed:
-    """Words, half windows, anchors by full window and whole-text hashes of a sub-batch."""
 
-    def __init__(self, x: textvec.Texts, window: int) -> None:
-        self.words = w = x.words()
-        self.h = w.hashes()
-        self.half = textvec.windows(self.h, window // 2)
-        self.anchor = least_halves(self.half, w.docs, window)
-        self.second = textvec.mix(self.h ^ _CHECK)
-        first, second = self._whole(self.h, textvec.WORD_BASE), self._whole(self.second, _CHECK_BASE)
-        self.whole, self.whole_check = first.view(np.int64), (second >> np.uint64(33)).astype(np.int32)
+def _marks(window: int, lengths: list[int]):
+    """Texts of a full window at least: their hash and, by level, the anchors of runs of full windows and where each run starts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["row", "doc", "n", "x", "y", *(f"{c}{i}" for i in range(len(lengths)) for c in ("at", "hash"))]
+        for batch in batches:
+            rows, ids = batch.column("row"), batch.column("doc")
+            for lo, hi, x in textvec.slices(batch):
+                w = x.words()
+                h, docs = w.hashes(), w.docs
+                n = np.diff(docs) - window + 1
+                long = np.flatnonzero(n > 0)
+                if not len(long):
+                    continue
+                where = pa.array(long + lo)
+                whole = [xxhash.xxh3_128_intdigest(b" ".join(x.bytes_of(d).split())) for d in long.tolist()]
+                columns = [rows.take(where), ids.take(where), pa.array(n[long], pa.int32()), *(pa.array(np.array([v >> s & 2**64 - 1 for v in whole], np.uint64).view(np.int64)) for s in (0, 64))]
+                # Full windows that lie in a document, end to end; each document's first one opens a run.
+                full = np.repeat(docs[long] - np.append(0, np.cumsum(n[long])[:-1]), n[long]) + np.arange(n[long].sum())
+                first, known = np.append(0, np.cumsum(n[long])), None
+                for size in lengths:
+                    g = textvec.windows(h, size, known)
+                    known = (size, g)
+                    a = anchors(g, size, window)[full]
+                    new = np.append(True, a[1:] != a[:-1])
+                    new[first[:-1]] = True
+                    new = np.flatnonzero(new)
+                    offsets = pa.array(np.searchsorted(new, first), pa.int32())
+                    at = new - np.repeat(first[:-1], np.diff(np.searchsorted(new, first)))
+                    columns += [pa.ListArray.from_arrays(offsets, pa.array(at, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(a[new].view(np.int64)))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
 
-    def _whole(self, h: np.ndarray, base: np.uint64) -> np.ndarray:
-        p, inverse = textvec.powers(len(h) + 1, base)
-        s, d = textvec.prefix(h * p[: len(h)]), self.words.docs
-        return textvec.mix((s[d[1:]] - s[d[:-1]]) * inverse[d[:-1]] ^ textvec.mix(np.diff(d).astype(np.uint64)))
 
-    def full(self, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """Each full window from its two halves, and its check bits."""
-        n, k = max(0, len(self.h) - window + 1), window // 2
-        h = textvec.windows(self.h, window) if window % 2 else textvec.mix(self.half[:n] ^ textvec.mix(self.half[k : k + n] + _CHECK))
-        return h.view(np.int64), (textvec.windows(self.second, window, _CHECK_BASE) >> np.uint64(33)).astype(np.int32)
+def _marks_schema(n: int, first: int = 0, extra: str = "") -> str:
+    return "row long, doc long, n int" + extra + "".join(f", at{i} array<int>, hash{i} array<long>" for i in range(first, n))
 
 
-_ANCHORS = "doc long, hash long, check int"
-#: In place of check bits, for the hash of an anchor; others are not negative.
-_HALF = -1
+def kept_runs(n: int, at: np.ndarray, found: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Of n full windows those that are left and lie in a run (from at on) that is found."""
+    return left & np.repeat(found, np.diff(np.append(at, n)))
 
 
-def _anchors(window: int):
+def _level(level: int, lengths: int):
+    """Candidates of the next level: full windows whose anchor is repeated, and the later levels' anchors with another hash than 0."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        later = range(level + 1, lengths)
+        names = ["row", "doc", "n", "left", *(f"{c}{i}" for i in later for c in ("at", "hash"))]
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            for lo, hi, x in textvec.slices(batch):
-                s = Hashed(x, window)
-                docs = s.words.docs
-                long = np.flatnonzero(np.diff(docs) >= window)
-                new = np.flatnonzero(np.append(True, s.anchor[1:] != s.anchor[:-1]) & (s.anchor != 0)) if len(s.anchor) else np.zeros(0, np.int64)
-                of = np.searchsorted(docs, new, "right") - 1
-                columns = (
-                    np.concatenate([ids[lo:hi][of], ids[lo:hi][long]]),
-                    np.concatenate([s.anchor[new].view(np.int64), s.whole[long]]),
-                    np.concatenate([np.full(len(of), _HALF, np.int32), s.whole_check[long]]),
-                )
-                for k in range(0, len(columns[0]), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000]) for c in columns], names=["doc", "hash", "check"])
+            out: list[list] = [[] for _ in names]
+            for k in range(batch.num_rows):
+                value = lambda c, k=k: batch.column(c)[k].values.to_numpy()
+                n, edges = batch.column("n")[k].as_py(), value("left")
+                left = np.zeros(n + 1, np.int8)
+                left[edges[::2]] += 1
+                left[edges[1::2]] -= 1
+                hashes = value(f"hash{level}")
+                left = kept_runs(n, value(f"at{level}"), np.isin(hashes, value("kept")) & (hashes != 0), np.cumsum(left[:n]) > 0)
+                if not left.any():
+                    continue
+                padded = np.concatenate([[False], left, [False]])
+                row = [batch.column("row")[k].as_py(), batch.column("doc")[k].as_py(), n, np.flatnonzero(padded[1:] != padded[:-1]).astype(np.int32)]
+                for i in later:
+                    at, h = value(f"at{i}"), value(f"hash{i}")
+                    row += [at, np.where(np.add.reduceat(left.astype(np.int32), at) > 0, h, 0)]
+                for c, v in zip(out, row):
+                    c.append(v)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), *(pa.list_(t) for _ in later for t in (pa.int32(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
 
     return run
 
 
-_EXTENDED = "row long, doc long, n_words long, text string, whole boolean, at array<int>, hash array<long>, check array<int>"
-_ARROW = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("n_words", pa.int64()), ("text", pa.string()), ("whole", pa.bool_()), ("at", pa.list_(pa.int32())), ("hash", pa.list_(pa.int64())), ("check", pa.list_(pa.int32()))])
+def candidates(marks: DataFrame, ws: shared.Workspace, lengths: list[int]) -> tuple[DataFrame, list[int]]:
+    """row and the edges of its spans of full windows that are repeated at each level's length; and the levels that ran."""
+    now = marks.select("row", "doc", "n", F.array(F.lit(0), F.col("n")).alias("left"), *(f"{c}{i}" for i in range(len(lengths)) for c in ("at", "hash")))
+    ran = []
+    for i, size in enumerate(lengths):
+        places = now.select("row", "doc", F.explode(f"hash{i}").alias("hash")).where("hash <> 0")
+        twice = places.groupBy("hash").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("hash")
+        twice = ws.write(twice, f"twice-{size}")  # as a table: only a join of two exchanges can split a skewed key
+        found = places.join(twice, "hash").groupBy("row").agg(F.collect_set("hash").alias("kept"))
+        kept = now.join(found.hint("shuffle_hash"), "row").mapInArrow(_level(i, len(lengths)), _marks_schema(len(lengths), i + 1, ", left array<int>"))
+        now = ws.write(kept, f"level-{size}")
+        ws.drop(f"twice-{size}", *(f"level-{s}" for s in ran[-1:]))
+        ran.append(size)
+        if now.isEmpty():
+            break
+    return now.select("row", "left"), ran
+
+
+_EXTENDED = "row long, doc long, n_words long, text string, whole boolean, at array<int>, hash array<long>, check array<long>"
+_ARROW = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("n_words", pa.int64()), ("text", pa.string()), ("whole", pa.bool_()), ("at", pa.list_(pa.int32())), ("hash", pa.list_(pa.int64())), ("check", pa.list_(pa.int64()))])
 
 
 def _extend(window: int):
-    """Full windows whose anchor is repeated. Rows get an id of their own, as a doc_id may come twice."""
+    """Each candidate's full windows, by two hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
+        none = np.zeros(0, np.int32)
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(NO_ID).to_pylist()
+            rows, ids, whole = (batch.column(c).to_pylist() for c in ("row", "doc", "whole"))
             for lo, hi, x in textvec.slices(batch):
-                texts, halves, copies = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in ("text", "halves", "copies"))
-                s = Hashed(x, window)
-                docs = s.words.docs
-                h, check = s.full(window)
+                texts, left = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in ("text", "left"))
+                w = x.words()
+                docs = w.docs
+                h = [textvec.windows(w.hashes(s), window).view(np.int64) for s in (0, 1)] if any(left) else []
                 out = []
                 for d in range(hi - lo):
                     a, b = int(docs[d]), int(docs[d + 1])
-                    whole = any(c["hash"] == s.whole[d] and c["check"] == s.whole_check[d] for c in copies[d] or ())
-                    at = np.zeros(0, np.int64)
-                    if halves[d] and not whole and b - a >= window:
-                        at = np.flatnonzero(np.isin(s.anchor[a : b - window + 1], np.array(halves[d], np.int64).view(np.uint64)))
-                    out.append((row, ids[lo + d], b - a, texts[d], whole, at.astype(np.int32), h[a + at], check[a + at]))
-                    row += 1
+                    edges = left[d] or ()
+                    at = np.concatenate([np.arange(i, j, dtype=np.int32) for i, j in zip(edges[::2], edges[1::2])]) if edges else none
+                    out.append((rows[lo + d], ids[lo + d], b - a, texts[d], whole[lo + d], at, *((g[a + at] if edges else none) for g in h or (none, none))))
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)]
                 yield pa.RecordBatch.from_arrays([*columns, batch.column("rest").slice(lo, hi - lo)], names=[*_ARROW.names, "rest"])
 
@@ -149,53 +196,60 @@ def _remove(window: int, as_is: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (the kept words, joined by one space) of every row of docs.
 
     Words are `[^\\x20\\x09-\\x0D]+`. A word goes if a window of `window` words over it starts in a document of smaller doc_id too. Null
     text has no words. A null doc_id counts as greater than all others, and rows that share a doc_id don't remove each other's words.
-    Columns beside doc_id and text are ignored; an empty table gives an empty result.
+    Ties: of equal windows that of the least doc_id stays, in each of its places. Long texts are handled whole, in one task each. Columns beside
+    doc_id and text are ignored; an empty table gives an empty result.
     """
-    return _repeats(docs, window, [], False).drop("rest")
-
-
-def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs, all columns, without the words that remove_repeats takes; texts that lose none are unchanged,
-    those that lose all go, and n_chars, where it is a column, follows the text."""
-    other = [c for c in docs.columns if c not in ("doc_id", "text")]
-    left = _repeats(docs, window, other, True).where("n_removed = 0 or n_removed < n_words")
-    sized = F.when(F.col("n_removed") == 0, F.col("rest.n_chars")).otherwise(F.char_length("kept_text")) if "n_chars" in other else None
-    value = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": sized}
-    return left.select(*((value[c] if c in value else F.col("rest")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
-
-
-def _repeats(docs: DataFrame, window: int, other: list[str], as_is: bool) -> DataFrame:
-    """other: columns to carry along, in a struct."""
-    shared.small_batches(docs.sparkSession)
+    rows, doc, text = shared.unnamed(docs)
+    out = _repeats(rows.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")), window, shortest, False)
+    return out.select(F.col("doc").alias("doc_id"), "n_words", "n_removed", "kept_text")
+
+
+def drop_repeats(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
+    """The rows of docs, all columns, without the words that remove_repeats takes; texts that lose none are unchanged, a null one
+    becomes empty, those that lose all go, and n_chars, where it is a column, follows the text. Null and repeated doc_ids are as there."""
+    left = _repeats(docs, window, shortest, True).where("n_removed = 0 or n_removed < n_words")
+    as_is, out = F.col("n_removed") == 0, []
+    for i, c in enumerate(docs.columns):
+        value = F.col(f"rest.c{i}")
+        if c == "text":
+            value = F.col("kept_text")
+        elif c == "n_chars":
+            value = F.when(as_is, value).otherwise(F.char_length("kept_text"))
+        out.append(value.cast(docs.schema[i].dataType).alias(c))
+    return left.select(*out)
+
+
+def _repeats(docs: DataFrame, window: int, shortest: int, as_is: bool) -> DataFrame:
+    """doc, n_words, n_removed, kept_text and, as a struct, the columns but text by position."""
     ws = shared.Workspace(docs.sparkSession, "substrings")
-    rest = F.struct(*(docs[c] for c in other), F.lit(0).alias("_")).alias("rest")
-    full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), rest)
+    numbered = shared.Numbered(ws, docs)
+    texts, lengths = numbered.texts(), levels(window, shortest)
+    marks = ws.write(texts.mapInArrow(_marks(window, lengths), _marks_schema(len(lengths), extra=", x long, y long")), "marks")
+    whole = marks.groupBy("x", "y").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
+    whole = ws.write(whole, "whole")
+    copies = ws.write(marks.select("row", "doc", "x", "y").join(whole, ["x", "y"]).where("least < doc").select("row"), "copies")
+    left, _ = candidates(marks.join(copies, "row", "left_anti"), ws, lengths)
+    state = left.select("row", "left", F.lit(False).alias("whole")).union(copies.select("row", F.lit(None).cast("array<int>"), F.lit(True)))
+    rest = F.struct(*(f"c{i}" for i in range(len(docs.columns)) if f"c{i}" != numbered.text)).alias("rest")
+    full = numbered.texts(rest)
     kind = full.schema["rest"]
-    rows = full.select("doc_id", "text")
-    halves = ws.write(rows.mapInArrow(_anchors(window), _ANCHORS), "halves")
-    twice = halves.groupBy("hash", "check").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
-    twice = ws.write(twice, "twice-half")  # as a table: only a join of two exchanges can split a skewed key
-    found = halves.join(twice, ["hash", "check"])
-    half = F.col("check") == _HALF
-    copy = ~half & (F.col("least") < F.col("doc"))
-    found = found.groupBy("doc").agg(F.collect_set(F.when(half, F.col("hash"))).alias("halves"), F.collect_set(F.when(copy, F.struct("hash", "check"))).alias("copies"))
-    found = ws.write(found, "found")
-    ws.drop("halves")
-    # Hashes of a partition's documents are its small side; texts needn't be sorted.
-    keyed = full.withColumn("_doc", F.coalesce("doc_id", F.lit(NO_ID))).join(found.withColumnRenamed("doc", "_doc").hint("shuffle_hash"), "_doc", "left").select("doc_id", "text", "rest", "halves", "copies")
+    # A partition's candidates are its small side; texts needn't be sorted.
+    keyed = full.join(state.hint("shuffle_hash"), "row", "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
     extended = ws.write(keyed.mapInArrow(_extend(window), StructType([*StructType.fromDDL(_EXTENDED), kind])), "extended")
+    numbered.drop()
+    ws.drop("marks", "whole", "copies", *(f"level-{s}" for s in lengths))
     places = extended.where(F.size("at") > 0).select("row", "doc", F.inline(F.arrays_zip("at", "hash", "check")))
     twice = places.groupBy("hash", "check").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
     twice = ws.write(twice, "twice")
     cut = places.join(twice, ["hash", "check"]).where("least < doc").groupBy("row").agg(F.collect_list("at").alias("removed"))
     some = extended.where(F.size("at") > 0).join(cut.hint("shuffle_hash"), "row", "left").select("doc", "n_words", "text", "whole", "removed", "rest")
     none = extended.where(F.size("at") == 0).select("doc", "n_words", "text", "whole", F.lit(None).cast("array<int>").alias("removed"), "rest")
-    return some.union(none).mapInArrow(_remove(window, as_is), StructType([*StructType.fromDDL(_KEPT), kind])).withColumnRenamed("doc", "doc_id")
+    return some.union(none).mapInArrow(_remove(window, as_is), StructType([*StructType.fromDDL(_KEPT), kind]))
 
 
 def digest(kept: DataFrame) -> DataFrame:

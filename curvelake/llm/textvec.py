@@ -1,8 +1,9 @@
 """Whole texts as numpy arrays: words, 64-bit word hashes and window hashes of an Arrow batch at once.
 
 Every function works on the UTF-8 bytes of a batch of texts laid end to end. Words are maximal runs of
-bytes outside a separator table; no word crosses a document's end. Hashes are polynomials modulo 2**64
-over a table of random 64-bit values, so any run of bytes or words is hashed from two prefix sums.
+bytes outside a separator table; no word crosses a document's end. A word is hashed by chains of mixed eight-byte chunks, a
+window from the hashes of its two halves; each step mixes all bits, so no pattern of equal parts cancels out. Hashes of another
+seed start at the bytes again and share nothing with the first.
 """
 
 from __future__ import annotations
@@ -11,12 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
-_RNG = np.random.Generator(np.random.PCG64(20260731))
-#: One random odd-mixed value per byte; the seed is fixed, so every executor hashes alike.
-BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
-BASE, WORD_BASE = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
+#: Words of more bytes are hashed by xxh3, one by one.
+CHAINED = 64
+#: Odd, and 2 modulo 4 less one: halves (a, b) and (b, a) differ in all bits but one at most.
+_LEFT = U(0x9E3779B97F4A7C17)
 #: Sub-batches hold about this many bytes of text, so that temporaries stay near 50 MB.
 CHUNK = 1 << 20
 
@@ -28,31 +30,35 @@ for _a, _b in ((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF)):
     _NOT_ALNUM[_a : _b + 1] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int, base: np.uint64 = BASE) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n; kept between calls."""
-    got = _POWERS.get(int(base))
-    if got is None or len(got[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        inverse = U(pow(int(base), -1, 2**64))
-        out = []
-        for b in (base, inverse):
-            p = np.full(size, b, dtype=np.uint64)
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=np.uint64))
-        _POWERS[int(base)] = got = (out[0], out[1])
-    return got
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> U(33))
-    h = h * U(0xFF51AFD7ED558CCD)
-    h = h ^ (h >> U(33))
-    h = h * U(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> U(33))
+    h *= U(0xFF51AFD7ED558CCD)
+    h ^= h >> U(33)
+    h *= U(0xC4CEB9FE1A85EC53)
+    h ^= h >> U(33)
+    return h
+
+
+def spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of raw[starts:ends], none of them empty."""
+    size = ends - starts
+    h = mix(size.astype(np.uint64) * U(0xA0761D6478BD642F) + U(seed * 0x2545F4914F6CDD1D & 2**64 - 1))
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    chunks = np.ndarray(len(raw) + 1, "<u8", padded, 0, (1,))
+    h = mix(h ^ (chunks[starts] & _MASK[np.minimum(size, 8)]))
+    live, at = np.flatnonzero((size > 8) & (size <= CHAINED)), 8
+    while len(live):
+        h[live] = mix(h[live] ^ (chunks[starts[live] + at] & _MASK[np.minimum(size[live] - at, 8)]))
+        at += 8
+        live = live[size[live] > at]
+    for i in np.flatnonzero(size > CHAINED).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes(), seed)
+    return h
 
 
 def prefix(values: np.ndarray) -> np.ndarray:
@@ -100,7 +106,6 @@ class Words:
 
     def __init__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, docs: np.ndarray) -> None:
         self.raw, self.starts, self.ends, self.docs = raw, starts, ends, docs
-        self._sums: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -112,27 +117,30 @@ class Words:
         """The document of each word."""
         return np.repeat(np.arange(len(self.docs) - 1), self.counts())
 
-    def span(self, ends: np.ndarray, which: np.ndarray | slice = slice(None)) -> np.ndarray:
-        """Hashes of the bytes from each word's start to ends."""
-        p, inverse = powers(len(self.raw) + 1)
-        if self._sums is None:
-            self._sums = prefix(BYTE[self.raw] * p[: len(self.raw)])
-        starts = self.starts[which]
-        h = (self._sums[ends] - self._sums[starts]) * inverse[starts]
-        return mix(h ^ ((ends - starts).astype(np.uint64) * U(0xA0761D6478BD642F)))
-
-    def hashes(self) -> np.ndarray:
-        return self.span(self.ends)
-
-
-def windows(h: np.ndarray, k: int, base: np.uint64 = WORD_BASE) -> np.ndarray:
-    """Hashes of the k items from each position; positions run across documents, mask them with inside()."""
-    n = len(h) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    p, inverse = powers(len(h) + 1, base)
-    s = prefix(h * p[: len(h)])
-    return mix((s[k:] - s[:-k]) * inverse[:n])
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        return spans(self.raw, self.starts, self.ends, seed)
+
+
+def halves(k: int, shortest: int = 1) -> list[int]:
+    """Ascending lengths up to k, each the larger half of the next, none below `shortest` but k itself."""
+    out = [k]
+    while out[-1] > 1 and -(-out[-1] // 2) >= shortest:
+        out.append(-(-out[-1] // 2))
+    return out[::-1]
+
+
+def windows(h: np.ndarray, k: int, known: tuple[int, np.ndarray] | None = None) -> np.ndarray:
+    """Hashes of the k items from each position, each length's from those of its two halves, which overlap by one where it is odd.
+
+    known: a length of halves(k) with its windows. Positions run across documents, mask them with inside().
+    """
+    at, g = known or (1, h)
+    for size in halves(k):
+        if size > at:
+            n = max(0, len(h) - size + 1)
+            g = mix(g[:n] * _LEFT + g[size - at : size - at + n])
+            at = size
+    return g
 
 
 def inside(docs: np.ndarray, k: int, n: int) -> np.ndarray:

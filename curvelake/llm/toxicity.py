@@ -62,7 +62,7 @@ def features(x: textvec.Texts) -> linear.Triples:
     for k in PREFIXES:
         longer = np.flatnonzero(size > k)
         docs.append(doc[longer])
-        found.append(linear.bucket(w.span(w.starts[longer] + k, longer), k))
+        found.append(linear.bucket(textvec.spans(w.raw, w.starts[longer], w.starts[longer] + k), k))
     return np.concatenate(docs), np.concatenate(found), np.ones(sum(map(len, docs)))
 
 

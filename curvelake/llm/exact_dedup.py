@@ -1,20 +1,24 @@
 """Exact deduplication by an extendible-hash index on shared files.
 
-1. Runs. Each map task normalises its texts and collapses equal ones of a batch, bytes compared, to one run:
-   key, text, row ids. A group of copies thus sends one text for some thousand rows.
+1. Runs. Each map task normalises its texts and collapses equal ones, bytes compared, to one run: key, text, row ids. It keeps
+   up to `held` bytes of distinct texts at once, so a group of copies sends its text once a task or so. Keys whose
+   runs still weigh more than an owner's share are combined in salted parts before, as often as needed.
 2. Index. The 64-bit key's upper bits name an owner; the number of owners follows the bytes of text, so each
    owner's distinct texts fit its memory. An owner inserts its runs in an extendible-hash directory:
    an overfull bucket splits, the directory doubles when the bucket is as deep as it, equal keys are chained and
-   compared byte by byte. Its buckets go to the shared folder as index files.
-3. Lookup. Runs, without text, join the index by key and digest; Spark splits a skewed key, as the join needs
-   no key's rows together. Row ids are unnested only then.
+   compared byte by byte. Directory and buckets go to a file in the shared folder; files are written under names of their own by each
+   attempt of a task, and only those that the committed attempt reports are read.
+3. Lookup. Runs, without text, are dealt by owner, a hot owner's in salted parts; each task reads its owner's file and finds a run through
+   directory, bucket and chain. Row ids are unnested only then.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -23,15 +27,20 @@ from pyspark.sql import functions as F
 
 from . import shared, tokens
 
-#: A null doc_id in the index: it sorts behind all others.
-NO_ID = 2**63 - 1
+NO_ID = shared.NO_ID
 OWNER_BYTES = 24 << 20
 BUCKET_KEYS = 256
+#: Bytes of distinct texts that a map task keeps to find their copies; runs of a hot key that one part of it combines at least; runs that
+#: one lookup task reads.
+HELD_BYTES, COMBINED, LOOKUP_RUNS = 24 << 20, 8, 500_000
+MAGIC = b"EXTHASH1"
 
-_RUNS = "run long, key long, sha string, size long, text binary, ids array<long>, least long"
-_RUNS_ARROW = pa.schema([("run", pa.int64()), ("key", pa.int64()), ("sha", pa.string()), ("size", pa.int64()), ("text", pa.binary()), ("ids", pa.list_(pa.int64())), ("least", pa.int64())])
-_INDEX = "owner long, bucket long, depth int, chain int, key long, sha string, keep_id long, keep_run long, group_size long"
-_INDEX_ARROW = pa.schema([("owner", pa.int64()), ("bucket", pa.int64()), ("depth", pa.int32()), ("chain", pa.int32()), ("key", pa.int64()), ("sha", pa.string()), ("keep_id", pa.int64()), ("keep_run", pa.int64()), ("group_size", pa.int64())])
+_RUNS = "run long, key long, sha binary, size long, text binary, ids array<long>, rows array<long>, least long"
+_RUNS_ARROW = pa.schema([("run", pa.int64()), ("key", pa.int64()), ("sha", pa.binary()), ("size", pa.int64()), ("text", pa.binary()), ("ids", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64())), ("least", pa.int64())])
+_LEADS = "key long, sha binary, text binary, least long, run long, size long"
+_LEADS_ARROW = pa.schema([("key", pa.int64()), ("sha", pa.binary()), ("text", pa.binary()), ("least", pa.int64()), ("run", pa.int64()), ("size", pa.int64())])
+#: An entry of a bucket in an index file.
+_ENTRY = np.dtype([("key", "<u8"), ("sha", "V32"), ("least", "<i8"), ("run", "<i8"), ("size", "<i8")])
 
 
 def normalise(text: bytes) -> bytes:
@@ -54,7 +63,7 @@ class Entry:
 
     __slots__ = ("key", "least", "run", "sha", "size", "text")
 
-    def __init__(self, key: int, text: bytes, sha: str, least: int, run: int, size: int) -> None:
+    def __init__(self, key: int, text: bytes, sha: bytes, least: int, run: int, size: int) -> None:
         self.key, self.text, self.sha, self.least, self.run, self.size = key, text, sha, least, run, size
 
 
@@ -75,7 +84,7 @@ class ExtendibleHash:
     def bucket(self, key: int) -> Bucket:
         return self.directory[key & ((1 << self.depth) - 1)]
 
-    def insert(self, key: int, text: bytes, sha: str, least: int, run: int, size: int) -> None:
+    def insert(self, key: int, text: bytes, sha: bytes, least: int, run: int, size: int) -> None:
         bucket = self.bucket(key)
         chain = bucket.chains.get(key)
         if chain is not None:
@@ -110,59 +119,195 @@ class ExtendibleHash:
                 yield i, b
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tokens.forget()
-    at = TaskContext.get().partitionId() << 33
-    for batch in batches:
-        groups: dict[bytes, list[int]] = {}
-        for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-            groups.setdefault(normalise(t), []).append(NO_ID if i is None else i)
-        rows = [(at + k, key_of(t), hashlib.sha256(t).hexdigest(), len(t), t, ids, min(ids)) for k, (t, ids) in enumerate(groups.items())]
-        at += len(rows)
-        for k in range(0, len(rows), 2000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 2000]), _RUNS_ARROW)], schema=_RUNS_ARROW)
+def _runs(held: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
+        at, size = TaskContext.get().partitionId() << 33, 0
+        groups: dict[bytes, tuple[list[int], list[int]]] = {}
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            nonlocal at, size
+            rows = [(at + k, key_of(t), hashlib.sha256(t).digest(), len(ids), t, ids, own, min(ids)) for k, (t, (ids, own)) in enumerate(groups.items())]
+            at, size = at + len(rows), 0
+            groups.clear()
+            for k in range(0, len(rows), 2000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 2000]), _RUNS_ARROW)], schema=_RUNS_ARROW)
+
+        for batch in batches:
+            for i, row, t in zip(*(c.to_pylist() for c in (batch.column("doc"), batch.column("row"), batch.column("text").cast(pa.binary())))):
+                t = normalise(t)
+                found = groups.get(t)
+                if found is None:
+                    groups[t] = found = [], []
+                    size += len(t) + 200
+                found[0].append(i)
+                found[1].append(row)
+            if size > held:
+                yield from sent()
+        yield from sent()
+
+    return run
+
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The leads of a part of a hot key, one for each text, as ordered by key and salt."""
+    now, found = None, {}
 
-def _owner(capacity: int):
+    def sent() -> Iterator[pa.RecordBatch]:
+        if found:
+            rows = [(now[0], sha, t, least, run, size) for t, (sha, least, run, size) in found.items()]
+            found.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _LEADS_ARROW)], schema=_LEADS_ARROW)
+
+    for batch in batches:
+        for key, salt, sha, t, least, run, size in zip(*(batch.column(c).to_pylist() for c in ("key", "salt", "sha", "text", "least", "run", "size"))):
+            if (key, salt) != now:
+                yield from sent()
+                now = key, salt
+            before = found.get(t, (sha, least, run, 0))
+            found[t] = (sha, *min((least, run), before[1:3]), size + before[3])
+    yield from sent()
+
+
+def combined(leads: DataFrame, ws: shared.Workspace, share: int) -> DataFrame:
+    """leads, with at most COMBINED rows of each key whose texts weigh more than `share`."""
+    k = 0
+    while True:
+        heavy = leads.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).where((F.col("n") > COMBINED) & (F.col("bytes") > share))
+        heavy = ws.write(heavy.select("key", F.least(F.ceil(F.col("bytes") / share), F.ceil(F.col("n") / COMBINED)).alias("parts")), f"heavy-{k}")
+        if heavy.isEmpty():
+            return leads
+        salted = leads.join(heavy, "key").withColumn("salt", F.pmod(F.xxhash64("run", F.lit(k)), "parts"))
+        merged = salted.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_merge, _LEADS)
+        rest = leads.join(heavy.hint("shuffle_hash"), "key", "left_anti").select(*_LEADS_ARROW.names)
+        k, leads = k + 1, ws.write(rest.union(merged), f"leads-{k}")
+
+
+def write_index(folder: str, index: ExtendibleHash) -> str:
+    """The directory, where each bucket begins, and the buckets' entries by key; equal keys are a chain."""
+    store, path = tokens.filesystem(folder)
+    number, starts, entries = {}, [0], []
+    for _, b in index.buckets():
+        number[id(b)] = len(number)
+        entries += [(k & 2**64 - 1, e.sha, e.least, e.run, e.size) for k in sorted(b.chains, key=lambda k: k & 2**64 - 1) for e in b.chains[k]]
+        starts.append(len(entries))
+    name = f"index-{uuid.uuid4().hex}.bin"
+    store.create_dir(path, recursive=True)
+    with store.open_output_stream(f"{path}/{name}") as out:
+        out.write(MAGIC)
+        out.write(np.array([len(index.directory), len(number), len(entries)], "<i8").tobytes())
+        out.write(np.array([number[id(b)] for b in index.directory], "<i4").tobytes())
+        out.write(np.array(starts, "<i8").tobytes())
+        out.write(np.array(entries, _ENTRY).tobytes())
+    return name
+
+
+class IndexFile:
+    """An owner's index, as read from its file."""
+
+    def __init__(self, folder: str, name: str) -> None:
+        store, path = tokens.filesystem(folder)
+        with store.open_input_stream(f"{path}/{name}") as f:
+            raw = f.read()
+        if raw[:8] != MAGIC:
+            raise ValueError(f"{name} is no index file")
+        slots, buckets, entries = np.frombuffer(raw, "<i8", 3, 8).tolist()
+        self.directory = np.frombuffer(raw, "<i4", slots, 32)
+        self.starts = np.frombuffer(raw, "<i8", buckets + 1, 32 + 4 * slots)
+        self.entries = np.frombuffer(raw, _ENTRY, entries, 40 + 4 * slots + 8 * buckets)
+
+    def find(self, keys: np.ndarray, shas: list[bytes]) -> np.ndarray:
+        """Where in the entries each key and digest is: through the directory to a bucket, by halving to a chain, along the chain."""
+        keys = keys.view(np.uint64)
+        bucket = self.directory[(keys & np.uint64(len(self.directory) - 1)).astype(np.int64)]
+        low, high, known = self.starts[bucket], self.starts[bucket + 1], self.entries["key"]
+        while (low < high).any():
+            mid = (low + high) // 2
+            less = (low < high) & (known[np.minimum(mid, len(known) - 1)] < keys)
+            low, high = np.where(less, mid + 1, low), np.where(less, high, np.minimum(mid, high))
+        sha = self.entries["sha"]
+        for i, s in enumerate(shas):
+            while sha[low[i]].tobytes() != s:
+                low[i] += 1
+        return low
+
+
+def _owner(capacity: int, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, owner = ExtendibleHash(capacity), 0
+        index, owner = ExtendibleHash(capacity), None
         for batch in batches:
             for owner, *x in zip(*(batch.column(c).to_pylist() for c in ("owner", "key", "text", "sha", "least", "run", "size"))):
                 index.insert(*x)
-        for i, b in index.buckets():
-            rows = [(owner, i, b.depth, n, e.key, e.sha, e.least, e.run, e.size) for chain in b.chains.values() for n, e in enumerate(chain)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _INDEX_ARROW)], schema=_INDEX_ARROW)
+        if owner is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([owner], pa.int64()), pa.array([write_index(folder, index)])], names=["owner", "file"])
+
+    return run
+
+
+_FOUND = "sha binary, ids array<long>, rows array<long>, first boolean, keep_id long, group_size long"
+
+
+def _lookup(folder: str):
+    """Rows ordered by file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, index = None, None
+        for batch in batches:
+            names = batch.column("file").to_pylist()
+            cuts = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                part = batch.slice(lo, hi - lo)
+                if names[lo] != now:
+                    now, index = names[lo], IndexFile(folder, names[lo])
+                e = index.entries[index.find(part.column("key").to_numpy(), part.column("sha").to_pylist())]
+                first = e["run"] == part.column("run").to_numpy()
+                yield pa.RecordBatch.from_arrays([part.column("sha"), part.column("ids"), part.column("rows"), pa.array(first), pa.array(e["least"]), pa.array(e["size"])], names=["sha", "ids", "rows", "first", "keep_id", "group_size"])
 
     return run
 
 
-def exact_groups(docs: DataFrame, owner_bytes: int = OWNER_BYTES, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+def _grouped(ws: shared.Workspace, texts: DataFrame, owner_bytes: int, bucket_keys: int, held_bytes: int) -> DataFrame:
+    """id, row, keep_id, group_size, kept and sha of every row (row, doc, text)."""
+    spark = texts.sparkSession
+    runs = ws.write(texts.select("row", "doc", "text").mapInArrow(_runs(held_bytes), _RUNS), "runs")
+    leads = combined(runs.select(*_LEADS_ARROW.names), ws, owner_bytes)
+    total = leads.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    owners = shared.parts(spark, total, owner_bytes)
+    bits = (owners - 1).bit_length()
+    owners = 1 << bits
+    owner = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")
+    keyed = leads.withColumn("owner", owner).repartitionById(owners, F.col("owner").cast("int"))
+    files = ws.write(keyed.mapInArrow(_owner(bucket_keys, f"{ws.path}/index"), "owner long, file string"), "files")
+    few = runs.select(owner.alias("owner"), "key", "sha", "run", "ids", "rows")
+    parts = files.join(few.groupBy("owner").agg(F.ceil(F.count("*") / LOOKUP_RUNS).alias("parts")), "owner")
+    dealt = few.join(parts, "owner").withColumn("salt", F.pmod(F.xxhash64("run"), "parts"))
+    found = dealt.repartition("owner", "salt").sortWithinPartitions("file").select("file", "key", "sha", "run", "ids", "rows").mapInArrow(_lookup(f"{ws.path}/index"), _FOUND)
+    rows = found.select("*", F.posexplode(F.arrays_zip("ids", "rows")).alias("at", "of"))
+    kept = F.col("first") & (F.col("at") + 1 == F.array_position("ids", F.col("keep_id")))
+    return rows.select(F.col("of.ids").alias("id"), F.col("of.rows").alias("row"), "keep_id", "group_size", kept.alias("kept"), "sha")
+
+
+def exact_groups(docs: DataFrame, owner_bytes: int = OWNER_BYTES, bucket_keys: int = BUCKET_KEYS, held_bytes: int = HELD_BYTES) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row.
 
     Null text counts as empty, and all empty texts are equal; other columns are ignored. A null doc_id sorts
     behind all others; a group of such rows alone has a null keep_id and keeps one of them. Of rows that repeat a doc_id and
     a text exactly one is kept. An empty table gives an empty result. Long texts are compared whole.
     """
-    spark = docs.sparkSession
-    ws = shared.Workspace(spark, "exact")
-    runs = ws.write(shared.texts(docs).mapInArrow(_runs, _RUNS), "runs")
-    total = runs.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    owners = shared.parts(spark, total, owner_bytes)
-    bits = (owners - 1).bit_length()
-    owners = 1 << bits
-    owner = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")
-    keyed = runs.select(owner.alias("owner"), "key", "text", "sha", "least", "run", F.size("ids").cast("long").alias("size"))
-    index = ws.write(keyed.repartitionById(owners, F.col("owner").cast("int")).mapInArrow(_owner(bucket_keys), _INDEX), "index")
-    found = runs.select("key", "sha", "run", "ids").join(index.select("key", "sha", "keep_id", "keep_run", "group_size"), ["key", "sha"])
-    rows = found.select("*", F.posexplode("ids").alias("at", "id"))
-    kept = (F.col("run") == F.col("keep_run")) & (F.col("at") + 1 == F.array_position("ids", F.col("keep_id")))
     no = F.lit(NO_ID)
-    return rows.select(F.nullif("id", no).alias("doc_id"), F.nullif("keep_id", no).alias("keep_id"), "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
+    texts = shared.texts(docs).select(F.lit(0).cast("long").alias("row"), F.coalesce("doc_id", no).alias("doc"), "text")
+    g = _grouped(shared.Workspace(docs.sparkSession, "exact"), texts, owner_bytes, bucket_keys, held_bytes)
+    return g.select(F.nullif("id", no).alias("doc_id"), F.nullif("keep_id", no).alias("keep_id"), "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
 
+def exact_dedup(docs: DataFrame, owner_bytes: int = OWNER_BYTES, bucket_keys: int = BUCKET_KEYS, held_bytes: int = HELD_BYTES) -> DataFrame:
+    """Of the rows of docs, all columns, one of each group of equal texts: that of the least doc_id, any one of its rows if several have that.
 
-def exact_dedup(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id exact_groups keeps; a doc_id goes when none of its rows is kept."""
-    g = exact_groups(docs, **parameters)
-    gone = g.groupBy("doc_id").agg(F.max("kept").alias("any_kept")).where(~F.col("any_kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    Null and repeated doc_ids, null and long texts are as in exact_groups: the empty and null texts are one group.
+    """
+    ws = shared.Workspace(docs.sparkSession, "exact")
+    numbered = shared.Numbered(ws, docs)
+    kept = _grouped(ws, numbered.texts(), owner_bytes, bucket_keys, held_bytes).where("kept").select("row")
+    return numbered.named(numbered.table.join(kept, "row", "left_semi"))

@@ -18,13 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared, textvec
-from .tokens import encoder, tokenizer_path
+from .tokens import encoder, filesystem, tokenizer_path
 
 MAGIC = b"RANKVB01"
 SHARD_IDS = 4_000_000
@@ -60,13 +59,9 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri)
-
-
 def write_shard(uri: str, doc_ids: list[int | None], counts: np.ndarray, ranks: np.ndarray) -> int:
     control, data = encode_ranks(ranks)
-    store, path = _filesystem(uri)
+    store, path = filesystem(uri)
     sections = (
         np.array([len(doc_ids), len(ranks), len(data)], "<i8"),
         np.array([0 if i is None else i for i in doc_ids], "<i8"), np.array([i is None for i in doc_ids], np.uint8), counts.astype("<i8"), control, data,
@@ -79,7 +74,7 @@ def write_shard(uri: str, doc_ids: list[int | None], counts: np.ndarray, ranks:
 
 
 def read_shard(uri: str) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    store, path = _filesystem(uri)
+    store, path = filesystem(uri)
     with store.open_input_stream(path) as f:
         raw = f.read()
     if raw[:8] != MAGIC:
@@ -96,13 +91,13 @@ def read_shard(uri: str) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 def write_table(uri: str, by_rank: np.ndarray) -> None:
-    store, path = _filesystem(uri)
+    store, path = filesystem(uri)
     with store.open_output_stream(path) as out:
         out.write(by_rank.astype("<u4").tobytes())
 
 
 def read_table(uri: str) -> np.ndarray:
-    store, path = _filesystem(uri)
+    store, path = filesystem(uri)
     with store.open_input_stream(path) as f:
         return np.frombuffer(f.read(), "<u4")
 
@@ -173,7 +168,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     tokens = ws.write(shared.texts(docs).mapInArrow(_tokenise(path, end_id), _TOKENS), "ids")
     counted = tokens.where("counts is not null").select("counts").mapInArrow(_unpack, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
     used = counted.toPandas().sort_values(["count", "id"], ascending=[False, True])
-    table, store = f"{folder}/ranks.bin", _filesystem(folder)
+    table, store = f"{folder}/ranks.bin", filesystem(folder)
     store[0].create_dir(store[1], recursive=True)
     write_table(table, used["id"].to_numpy(np.int64))
     shards = shared.parts(spark, float(used["count"].sum()), shard_ids)

@@ -2,7 +2,7 @@
 
 The ids of a range of documents lie end to end; a sequence is a window of at most `length` ids between two cuts.
 Cuts may fall behind a document at no cost, behind a sentence at a small cost, and elsewhere at a larger
-one (every `stride` ids, only in stretches without sentence ends). With p the position of a cut and
+one (every `stride` ids, only in sentences longer than a sequence). With p the position of a cut and
 f its least cost,
 
     f[j] = cut[j] + one sequence + min over i, p[j] - length <= p[i] < p[j], of f[i] + padding(p[j] - p[i]).
@@ -30,8 +30,8 @@ from .tokens import encoder, tokenizer_path
 
 LENGTH = 2048
 SENTENCE_COST, BREAK_COST, STRIDE = 8, 24, 16
-#: What any sequence costs beside its padding, and the part of a full one below which no power of two is aimed at.
-SEQUENCE_COST, SHORTEST = 8, 8
+#: What any sequence costs beside its padding.
+SEQUENCE_COST = 8
 #: Bytes of text in a range.
 RANGE_BYTES = 12 << 20
 
@@ -43,8 +43,8 @@ def candidates(doc_ends: np.ndarray, sentence_ends: np.ndarray, length: int = LE
     """Ascending cut positions, from 0 to the last document's end, and their costs; no gap exceeds length."""
     total = int(doc_ends[-1]) if len(doc_ends) else 0
     at = np.unique(np.concatenate([[0], doc_ends, sentence_ends, [total]]).astype(np.int64))
-    gaps = np.flatnonzero(np.diff(at) > min(8 * stride, length))
-    breaks = [np.arange(at[g] + stride, at[g + 1], stride) for g in gaps.tolist()]
+    gaps = np.flatnonzero(np.diff(at) > length)
+    breaks = [np.arange(at[g] + min(stride, length), at[g + 1], min(stride, length)) for g in gaps.tolist()]
     cost = np.full(len(at), SENTENCE_COST, np.int64)
     cost[np.isin(at, doc_ends) | (at == 0)] = 0
     if breaks:
@@ -60,13 +60,17 @@ def best_cuts(at: np.ndarray, cost: np.ndarray, length: int = LENGTH) -> list[in
     n = len(at)
     if n < 2:
         return [0] * n
-    exact: dict[int, list[int]] = {}
-    size = max(1, length // SHORTEST)
+    # Cuts a power of two apart, by their later one.
+    later, earlier, size = [], [], 1
     while size < length:
         i = np.searchsorted(at, at - size)
-        for j in np.flatnonzero(at[np.minimum(i, n - 1)] == at - size).tolist():
-            exact.setdefault(j, []).append(int(i[j]))
+        j = np.flatnonzero(at[np.minimum(i, n - 1)] == at - size)
+        later.append(j)
+        earlier.append(i[j])
         size *= 2
+    order = np.argsort(np.concatenate(later), kind="stable") if later else np.zeros(0, np.int64)
+    exact = np.concatenate(earlier)[order].tolist() if later else []
+    first = np.searchsorted(np.concatenate(later)[order], np.arange(n + 1)).tolist() if later else [0] * (n + 1)
     pos, costs = at.tolist(), cost.tolist()
     least, back = [0] * n, [0] * n
     queue: deque[tuple[int, int]] = deque([(pos[0], 0)])  # (f[i] + p[i], i), ascending in both
@@ -76,7 +80,7 @@ def best_cuts(at: np.ndarray, cost: np.ndarray, length: int = LENGTH) -> list[in
             queue.popleft()
         value, i = queue[0]
         value += length - p
-        for k in exact.get(j, ()):
+        for k in exact[first[j] : first[j + 1]]:
             if least[k] < value:
                 value, i = least[k], k
         value += costs[j] + SEQUENCE_COST
@@ -91,9 +95,9 @@ def best_cuts(at: np.ndarray, cost: np.ndarray, length: int = LENGTH) -> list[in
     return cuts[::-1]
 
 
-def _pack(path: str, end_id: int, length: int):
+def _pack(path: str, end_id: int, length: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        e = encoder(path, added)
         doc_ids, counts, chunks = [], [], []
         end = np.array([end_id], e.dtype).tobytes()
         for batch in batches:
@@ -126,7 +130,7 @@ def _pack(path: str, end_id: int, length: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, length: int = LENGTH, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, length: int = LENGTH, range_bytes: int = RANGE_BYTES, added: bool = True) -> DataFrame:
     """The pieces of all documents, in ascending doc_id order.
 
     A null text counts as empty: its document is end_id alone. A null doc_id comes first; rows that repeat a doc_id
@@ -135,6 +139,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, length:
     """
     path = tokenizer or tokenizer_path()
     rows = shared.texts(docs)
-    total = docs.select(F.sum(F.coalesce(F.octet_length(F.col("text").cast("binary")), F.lit(0)) + 1)).first()[0] or 0
+    total = rows.select(F.sum(F.octet_length(F.col("text").cast("binary")) + 1)).first()[0] or 0
     ranges = shared.parts(docs.sparkSession, total, range_bytes)
-    return rows.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_pack(path, end_id, length), _PIECES)
+    return rows.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_pack(path, end_id, length, added), _PIECES)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import shared, textvec
 from .tokens import encoder, filesystem, tokenizer_path
@@ -106,11 +107,11 @@ _TOKENS = "doc_id long, n long, ids binary, counts binary"
 _TOKENS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 
 
-def _tokenise(path: str, end_id: int):
+def _tokenise(path: str, end_id: int, added: bool):
     """A row for each document, and after a task's last one the counts of all its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        e = encoder(path, added)
         counts, end = np.zeros(max(e.vocabulary, end_id + 1), "<i8"), np.array([end_id], e.dtype).tobytes()
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
@@ -155,17 +156,18 @@ def _write(folder: str, table: str, dtype: np.dtype):
     return run
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 0, shard_ids: int = SHARD_IDS) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 0, shard_ids: int = SHARD_IDS, added: bool = True) -> DataFrame:
     """Writes the ids of all texts, each with end_id behind it, in ascending doc_id order; returns the manifest with each shard's first id.
 
     Null text counts as empty: its document has end_id alone. A null doc_id comes first; rows with one doc_id are ordered by
     their ids. An empty table gives no shards. `folder` is a URI that driver and executors can write to.
-    The manifest is collected: a row for each shard of about shard_ids ids. So is the rank table, bounded by the vocabulary.
+    The manifest is a table: a row for each shard of about shard_ids ids. The driver gets the rank table, bounded by the vocabulary. added: as in
+    tokens.Encoder. Long texts are encoded whole.
     """
     spark = docs.sparkSession
     ws = shared.Workspace(spark, "tokens")
     path = tokenizer or tokenizer_path()
-    tokens = ws.write(shared.texts(docs).mapInArrow(_tokenise(path, end_id), _TOKENS), "ids")
+    tokens = ws.write(shared.texts(docs).mapInArrow(_tokenise(path, end_id, added), _TOKENS), "ids")
     counted = tokens.where("counts is not null").select("counts").mapInArrow(_unpack, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
     used = counted.toPandas().sort_values(["count", "id"], ascending=[False, True])
     table, store = f"{folder}/ranks.bin", filesystem(folder)
@@ -173,13 +175,18 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     write_table(table, used["id"].to_numpy(np.int64))
     shards = shared.parts(spark, float(used["count"].sum()), shard_ids)
     rows = tokens.where("counts is null").select("doc_id", "n", "ids").repartitionByRange(shards, F.col("doc_id")).sortWithinPartitions("doc_id", "ids")
-    manifest = sorted(rows.mapInArrow(_write(folder, table, encoder(path).dtype), _MANIFEST).collect())
+    manifest = ws.write(rows.mapInArrow(_write(folder, table, encoder(path, added).dtype), _MANIFEST), "manifest")
     ws.drop("ids")
-    first, out = 0, []
-    for shard, name, n_docs, n_ids, n_bytes in manifest:
-        out.append((shard, name, n_docs, n_ids, n_bytes, first))
-        first += n_ids
-    return spark.createDataFrame(out, f"{_MANIFEST}, first long")
+    return manifest.join(starts(manifest), "shard").select(*manifest.columns, "first")
+
+
+def starts(manifest: DataFrame, block: int = 4096) -> DataFrame:
+    """shard and first, the ids of all shards before it: sums within blocks of shards, and of blocks."""
+    at = manifest.select("shard", "n_ids", F.floor(F.col("shard") / block).alias("block"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = at.groupBy("block").agg(F.sum("n_ids").alias("n")).select("block", F.coalesce(F.sum("n").over(before.orderBy("block")), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("n_ids").over(before.partitionBy("block").orderBy("shard")), F.lit(0))
+    return at.withColumn("inside", inside).join(blocks, "block").select("shard", (F.col("base") + F.col("inside")).alias("first"))
 
 
 _READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -208,4 +215,4 @@ def _read(table: str, with_ids: bool):
 def read_token_files(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids of every document, decoded from the shards."""
     shards = manifest.select("shard", "path", "first")
-    return shards.repartition(max(1, manifest.count()), "shard").mapInArrow(_read(f"{folder}/ranks.bin", with_ids), _READ + ", ids array<int>" * with_ids)
+    return shards.repartitionById(max(1, manifest.count()), F.col("shard")).mapInArrow(_read(f"{folder}/ranks.bin", with_ids), _READ + ", ids array<int>" * with_ids)

@@ -2,7 +2,7 @@
 
 The library's pre-tokenizer splits a text by a fixed pattern and encodes each piece alone, so a piece's ids
 never depend on its neighbours. A worker keeps the ids of pieces that it has seen; texts with characters for which
-Python's and the library's character classes may differ are encoded whole by the library.
+Python's and the library's character classes may differ, or that hold the string of an added token, are encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: The library's alternatives; the commonest comes first, as no other one can begin where it does.
 _PIECES = re.compile(rf" ?[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 _OTHER = re.compile(rf"[^\t-\r\x20-\x7e{_LETTERS}]")
-CACHED_PIECES = 1_200_000
+#: Bytes that a worker keeps of pieces and their ids, and the longest piece that it keeps.
+CACHED_BYTES, LONGEST = 160 << 20, 64
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -37,15 +38,19 @@ def filesystem(uri: str):
 
 
 class Encoder:
-    def __init__(self, path: str) -> None:
+    """added: whether the string of an added token in a text becomes that token, as the library has it by default, or ordinary ids."""
+
+    def __init__(self, path: str, added: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.pieces: dict[str, bytes] = {}
+        self.held = 0
         #: By id: the bytes that it stands for. The alphabet of byte-level BPE has one character for each byte.
         self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.vocabulary)], np.int64)
 
@@ -73,10 +78,11 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian, in self.dtype."""
-        if len(self.pieces) > CACHED_PIECES:
+        if self.held > CACHED_BYTES:
             self.pieces.clear()
+            self.held = 0
         get = self.pieces.get
-        split = [None if _OTHER.search(t) else _PIECES.findall(t) for t in texts]
+        split = [None if _OTHER.search(t) or any(a in t for a in self.added) else _PIECES.findall(t) for t in texts]
         coded = [None if p is None else list(map(get, p)) for p in split]
         gaps = [[] if c is None else [i for i, x in enumerate(c) if x is None] for c in coded]
         new = {p[i] for p, at in zip(split, gaps) for i in at}
@@ -85,6 +91,11 @@ class Encoder:
             for p, c, at in zip(split, coded, gaps):
                 for i in at:
                     c[i] = get(p[i])
+            for p in new:
+                if len(p) > LONGEST:
+                    del self.pieces[p]
+                else:
+                    self.held += 160 + len(p)  # two objects with their slots
         whole = iter(self._ids([t for t, p in zip(texts, split) if p is None]))
         return [next(whole) if c is None else b"".join(c) for c in coded]
 
@@ -99,8 +110,8 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, added: bool = True) -> Encoder:
+    return Encoder(path, added)
 
 
 def forget() -> None:

@@ -192,9 +192,26 @@ def test_forest_equals_all_pairs():
 # Tokens, packing
 
 
+def library_ids(texts):
+    from tokenizers import Tokenizer
+
+    return [x.ids for x in Tokenizer.from_file(tokenizer_path()).encode_batch(texts, add_special_tokens=False)]
+
+
 def whole_ids(end):
+    return [np.append(x, end).astype("<u4") for x in library_ids([r[1] or "" for r in ROWS])]
+
+
+END = "<|endoftext|>"
+
+
+def test_added_tokens_are_the_library_s():
+    texts = [END, f"{END} hi", f"hi {END}", f"a{END}b", f"x  {END}{END}  y", f"{END[:-1]} hi {END}", "<|endoftext |>", "plain words here", f"日本{END} x", "it's 12 x²½", "", " "]
+    want = library_ids(texts)
     e = encoder(tokenizer_path())
-    return [np.append(x.ids, end).astype("<u4") for x in e.tokenizer.encode_batch([r[1] or "" for r in ROWS], add_special_tokens=False)]
+    assert [np.frombuffer(c, e.dtype).tolist() for c in e.encode(texts)] == want and 50256 in want[1]
+    plain = encoder(tokenizer_path(), False).encode([f"{END} hi"])[0]
+    assert 50256 not in np.frombuffer(plain, e.dtype).tolist()
 
 
 def test_token_files_round_trip(docs, empty, tmp_path):
@@ -237,12 +254,19 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_only_long_sentences_are_cut_inside():
+    at, cost = packing.candidates(np.array([40, 90]), np.array([10, 60]), 32)
+    assert at.tolist() == [0, 10, 40, 60, 90] and cost.tolist() == [0, packing.SENTENCE_COST, 0, packing.SENTENCE_COST, 0]
+    at, _ = packing.candidates(np.array([100]), np.array([10]), 32)
+    assert at.tolist() == [0, 10, 26, 42, 58, 74, 90, 100]
+
+
 def test_cuts_are_cheapest():
     rng = np.random.default_rng(3)
     for _ in range(20):
         at = np.unique(np.append(0, rng.integers(1, 120, 25)))
         cost = rng.integers(0, 9, len(at))
-        pad = lambda n: 0 if n & (n - 1) == 0 and n >= 32 // packing.SHORTEST else 32 - n
+        pad = lambda n: 0 if n & (n - 1) == 0 else 32 - n
         at = at[np.append(True, np.diff(at) <= 32)]
         while (np.diff(at) > 32).any():
             at = np.unique(np.append(at, at[:-1][np.diff(at) > 32] + 20))
@@ -405,7 +429,6 @@ def test_pipeline_stages(spark, tmp_path):
     left = {i: (t if len(WORDS.findall(k)) == len(w) else k) for (i, t), w, k in zip(left.items(), words, shorter) if not w or k}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "n-gram jaccard join", "substring dedup", "packing"]
     pieces = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
-    e = encoder(tokenizer_path())
-    want = {i: len(x.ids) + 1 for i, x in zip(left, e.tokenizer.encode_batch([t or "" for t in left.values()], add_special_tokens=False))}
+    want = {i: len(x) + 1 for i, x in zip(left, library_ids([t or "" for t in left.values()]))}
     assert pieces.groupby("doc_id").length.sum().to_dict() == want
     assert isinstance(pieces, pd.DataFrame)

@@ -2,12 +2,17 @@
 
 A space becomes the marker U+2581, and one marker goes before a text. Where no piece of the vocabulary has a marker behind another
 character, no piece crosses the place before a marker, so the best segmentation of a text is that of its stretches; a worker keeps
-the ids of stretches that it has seen. New ones are solved together: the trie is walked for all of them at once, start by start.
-A character that no piece covers alone costs ten less than the least score and becomes the pieces of its bytes.
+the ids of short stretches that it has seen. New ones are solved together, the trie walked for all of them at once, start by start; long
+ones, as of scripts without spaces, by a loop over their bytes. A character that no piece covers alone costs ten less than the least
+score and becomes the pieces of its bytes. Ties go to the piece that begins first.
+
+Scores are log probabilities. A file of merge ranks has none: there a piece of rank r gets -log(r + 1), the law of Zipf, as merges come in the
+order of frequency. A unigram file's scores are taken as they stand.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,8 +26,9 @@ from . import shared, textvec, tokens
 
 MARK = "▁"
 _STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHED_STRETCHES = 800_000
-#: Stretches up to so many bytes are solved together, longer ones alone.
+#: Bytes that a worker keeps of stretches and their ids.
+CACHED_BYTES = 128 << 20
+#: Stretches up to so many bytes are solved together and kept, longer ones alone.
 TOGETHER = 40
 PENALTY = 10.0
 
@@ -94,20 +100,61 @@ class Model:
             self.bytes_of[i] = s
         for c, i in enumerate(byte_ids or ()):
             self.bytes_of[i] = bytes([c])
+        self.dtype = np.dtype("<u2" if len(pieces) <= 1 << 16 else "<u4")
         self.seen: dict[str, bytes] = {}
+        self.held = 0
+        self._lists: tuple[list, ...] | None = None
 
     def solve(self, stretches: list[str]) -> list[bytes]:
-        """The ids of each stretch, as little-endian 16-bit numbers."""
+        """The ids of each stretch, little-endian, in self.dtype."""
         raw = [s.encode() for s in stretches]
         out: list[bytes] = [b""] * len(raw)
         order = sorted(range(len(raw)), key=lambda i: len(raw[i]))
         short = [i for i in order if len(raw[i]) <= TOGETHER]
-        groups = [short[i : i + 4096] for i in range(0, len(short), 4096)] + [[i] for i in order[len(short) :]]
-        for g in groups:
+        for g in (short[i : i + 4096] for i in range(0, len(short), 4096)):
             for i, ids in zip(g, self._viterbi([raw[i] for i in g])):
                 out[i] = ids
+        for i in order[len(short) :]:
+            out[i] = self._long(raw[i])
         return out
 
+    def _long(self, raw: bytes) -> bytes:
+        """One stretch, by a walk over its bytes."""
+        if self._lists is None:
+            self._lists = self.trie.base.tolist(), self.trie.check.tolist(), self.trie.value.tolist(), self.scores.tolist()
+        base, check, value, scores = self._lists
+        n, none = len(raw), -math.inf
+        best, back, piece = [none] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        for s in range(n):
+            here, c = best[s], raw[s]
+            if here == none:
+                continue
+            one = s + (1 if c < 0xC0 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4)
+            at, alone = 0, False
+            for d in range(s, n):
+                to = base[at] + raw[d]
+                if check[to] != at:
+                    break
+                at = to
+                v = value[at]
+                if v >= 0:
+                    alone = alone or d + 1 == one
+                    score = here + scores[v]
+                    if score > best[d + 1]:
+                        best[d + 1], back[d + 1], piece[d + 1] = score, s, v
+            if not alone and here + self.unknown > best[one]:
+                best[one], back[one], piece[one] = here + self.unknown, s, -1
+        ids, known, at = [], self.ids, n
+        while at:
+            v, s = piece[at], back[at]
+            if v >= 0:
+                ids.append(int(known[v]))
+            else:
+                ids += [self.byte_ids[c] for c in reversed(raw[s:at])] if self.byte_ids else [0]
+            at = s
+        return np.array(ids[::-1], self.dtype).tobytes()
+
     def _viterbi(self, raw: list[bytes]) -> list[bytes]:
         m, size = len(raw), np.array([len(r) for r in raw])
         n = int(size.max(initial=0))
@@ -159,8 +206,8 @@ class Model:
         ids = np.where(found >= 0, self.ids[np.maximum(found, 0)], found)
         odd = (found == -1).any(1)
         count = (found > -2).sum(1)
-        stream = ids[found > -2].astype("<u2").tobytes()
-        ends = (2 * np.cumsum(count)).tolist()
+        stream = ids[found > -2].astype(self.dtype).tobytes()
+        ends = (self.dtype.itemsize * np.cumsum(count)).tolist()
         out = [stream[a:b] for a, b in zip([0, *ends], ends)]
         for i in np.flatnonzero(odd).tolist():
             got: list[int] = []
@@ -171,39 +218,51 @@ class Model:
                     got.append(int(self.ids[v]))
                 elif v == -1:
                     got += [self.byte_ids[c] for c in raw[i][a:b]] if self.byte_ids else [0]
-            out[i] = np.array(got, "<u2").tobytes()
+            out[i] = np.array(got, self.dtype).tobytes()
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.seen) > CACHED_STRETCHES:
+        if self.held > CACHED_BYTES:
             self.seen.clear()
+            self.held = 0
         split = [_STRETCH.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         get = self.seen.get
         coded = [list(map(get, p)) for p in split]
         gaps = [[i for i, c in enumerate(k) if c is None] for k in coded]
         new = list({p[i] for p, at in zip(split, gaps) for i in at})
         if new:
-            self.seen.update(zip(new, self.solve(new)))
+            solved = dict(zip(new, self.solve(new)))
             for p, c, at in zip(split, coded, gaps):
                 for i in at:
-                    c[i] = get(p[i])
+                    c[i] = solved[p[i]]
+            for p, ids in solved.items():
+                if len(p) <= TOGETHER:
+                    self.seen[p] = ids
+                    self.held += 240 + 2 * len(p) + len(ids)  # two objects with their slots
         return [b"".join(c) for c in coded]
 
     def decode(self, ids: bytes) -> str:
         """Text of ids: bytes of the pieces, markers as spaces, without the first one."""
-        raw = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u2").tolist()))
+        raw = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, self.dtype).tolist()))
         return raw.decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
+def zipf(rank: float) -> float:
+    """The log score of a piece of merge rank 0, 1, ..."""
+    return -math.log(rank + 1)
+
+
 @cache
 def model(path: str) -> Model:
-    """Pieces and scores of a SentencePiece file."""
+    """Pieces and log scores of a SentencePiece file. Merge ranks are known by their scores, whole numbers below 0."""
     import sentencepiece
 
     p = sentencepiece.SentencePieceProcessor(model_file=path)
     n = p.get_piece_size()
     special = [p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i) for i in range(n)]
-    pieces = [None if special[i] else (p.id_to_piece(i), p.get_score(i)) for i in range(n)]
+    scores = [p.get_score(i) for i in range(n) if not special[i]]
+    ranks = all(s <= 0 and s == int(s) for s in scores)
+    pieces = [None if special[i] else (p.id_to_piece(i), zipf(-p.get_score(i)) if ranks else p.get_score(i)) for i in range(n)]
     by = {p.id_to_piece(i): i for i in range(n) if p.is_byte(i)}
     return Model(pieces, [by[f"<0x{c:02X}>"] for c in range(256)] if len(by) == 256 else None)
 
@@ -215,7 +274,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None, with_ids: bool = Fal
     """doc_id, n_pieces, n_bytes (pieces of byte fallback), ids_crc32 (of little-endian 32-bit ids), round_trip and, if asked for, ids.
 
     round_trip: whether decoding gives the text again; only a text that holds the marker itself fails. A null or empty text has no pieces. A null
-    doc_id and repeated rows are encoded like others; other columns are ignored; an empty table gives an empty result.
+    doc_id and repeated rows are encoded like others, long texts whole; other columns are ignored; an empty table gives an empty result.
     """
     path = path or tokens.tokenizer_path("piece_bpe_32k.model")
 
@@ -228,7 +287,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None, with_ids: bool = Fal
             for lo, hi, _ in textvec.slices(batch):
                 texts = batch.column("text").slice(lo, hi - lo).to_pylist()
                 coded = m.encode(texts)
-                ids = [np.frombuffer(c, "<u2") for c in coded]
+                ids = [np.frombuffer(c, m.dtype) for c in coded]
                 columns = [batch.column("doc_id").slice(lo, hi - lo), pa.array([len(i) for i in ids], pa.int64()), pa.array([int(is_byte[i].sum()) for i in ids], pa.int64()), pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64()), pa.array([m.decode(c) == t for c, t in zip(coded, texts)])]
                 names = ["doc_id", "n_pieces", "n_bytes", "ids_crc32", "round_trip"]
                 if with_ids:

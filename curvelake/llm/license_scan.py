@@ -3,18 +3,19 @@
 Templates are characteristic stretches of license texts. The document frequency of each of their words comes from one
 pass over all documents, and gives its IDF. The index has, for every template, the positions of its words. Each template whose
 mandatory phrases stand in a document is tried by itself at all places near them: all its words vote, and votes that agree on
-a start, give or take a few words, align it. Its score is the part of its IDF mass found in place.
+a start, give or take a few words, align it. Its score is the part of its IDF mass found in place. Votes are summed over all such places at
+once, word by word, so a text of many phrases costs a few passes over its words.
 Plain phrases are searched beside, by their words; their labels always stay.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,20 +27,20 @@ PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc
 
 #: label, mandatory phrases, text: fixed excerpts of the licenses' own notices.
 TEMPLATES = (
-    ("mit", ("mit license",), "released under the mit license"),
-    ("apache", ("apache license",), "licensed under the apache license version 2 0"),
-    ("gpl", ("gnu general public license",), "this work is licensed under the gnu general public license version 3"),
-    ("cc-by", ("cc by",), "this text is available under a cc by 4 0 license"),
-    ("mit", ("permission is hereby granted free of charge",), "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", ("permission is hereby granted free of charge to any person obtaining a copy",), "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
     ("apache-2.0", ("licensed under the apache license version 2 0",), "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
     ("gpl-notice", ("under the terms of the gnu general public license",), "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version of the license or at your option any later version"),
     ("lgpl", ("gnu lesser general public license",), "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
     ("bsd", ("redistribution and use in source and binary forms",), "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("mpl-2.0", ("mozilla public license",), "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
     ("isc", ("permission to use copy modify and or distribute this software",), "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("cc-by-4.0", ("creative commons attribution",), "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-4.0", ("creative commons attribution 4 0",), "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-sa", ("creative commons attribution sharealike",), "this work is licensed under the creative commons attribution sharealike license"),
     ("unlicense", ("released into the public domain",), "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("agpl", ("gnu affero general public license",), "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("zlib", ("provided as is without any express or implied warranty",), "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("boost", ("to any person or organization obtaining a copy",), "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software"),
+    ("cc0", ("copyright and related and neighboring rights",), "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide this software is distributed without any warranty"),
 )
 
 #: Words by which an alignment may be off; least score of a label; least votes of an alignment.
@@ -85,36 +86,47 @@ class Index:
 
     def scan(self, words: list[bytes], line: bytes) -> dict[str, float]:
         """Labels of the aligned templates with their scores."""
-        places: dict[bytes, list[int]] = {}
+        places: dict[bytes, np.ndarray] = {}
         best: dict[str, float] = {}
+        n = len(words)
         for t, (lined, phrases) in enumerate(zip(self.lines, self.phrases)):
             if not all(p in line for p in phrases):
                 continue
             if not places:
+                found = defaultdict(list)
                 for i, w in enumerate(words):
                     if w in self.postings:
-                        places.setdefault(w, []).append(i)
-            found = [(k, places[w], self.idf[w]) for k, w in enumerate(lined) if w in places]
-            for start in self.starts(t, len(words), line):
-                near, hit = 0, 0.0
-                for k, at, idf in found:
-                    n = bisect_right(at, start + k + SLACK) - bisect_left(at, start + k - SLACK)
-                    if n:
-                        near, hit = near + n, hit + idf
-                score = min(1.0, hit / self.mass[t])
-                if near >= min(LEAST_VOTES, len(lined)) and score >= LEAST_SCORE:
-                    label = self.templates[t][0]
-                    best[label] = max(best.get(label, 0.0), score)
+                        found[w].append(i)
+                places = {w: np.array(x) for w, x in found.items()}
+            starts = self.starts(t, n, line)
+            near, hit = np.zeros(len(starts), np.int64), np.zeros(len(starts))
+            for k, w in enumerate(lined):
+                at = places.get(w)
+                if at is not None:
+                    votes = np.searchsorted(at, starts + k + SLACK, "right") - np.searchsorted(at, starts + k - SLACK)
+                    near += votes
+                    hit += np.where(votes > 0, self.idf[w], 0.0)
+            score = float(hit[near >= min(LEAST_VOTES, len(lined))].max(initial=0.0)) / self.mass[t]
+            if score >= LEAST_SCORE:
+                label = self.templates[t][0]
+                best[label] = max(best.get(label, 0.0), min(1.0, score))
         return best
 
-    def starts(self, t: int, n_words: int, line: bytes) -> set[int]:
-        """Where a template may start, so that all its phrases, which are in the line, stand in its stretch."""
-        size, every = len(self.lines[t]), None
+    def starts(self, t: int, n_words: int, line: bytes) -> np.ndarray:
+        """Where a template may start, so that all its phrases, which are in the line, stand in its stretch; ascending."""
+        size = len(self.lines[t])
+        if not self.phrases[t]:
+            return np.arange(-size, n_words)
+        # Places from -(size + SLACK) on; each phrase adds one to the places that it allows.
+        base, allowed = size + SLACK, np.zeros(n_words + size + 2 * SLACK + 2, np.int64)
         for p in self.phrases[t]:
             last = size + SLACK - p.count(b" ") + 1
-            own = {s for i in _indices(line, occurrences(line, p)) for s in range(i - last, i + SLACK + 1)}
-            every = own if every is None else every & own
-        return set(range(-size, n_words)) if every is None else every
+            at = np.array(_indices(line, occurrences(line, p)))
+            edge = np.zeros(len(allowed) + 1, np.int64)
+            np.add.at(edge, np.maximum(at - last + base, 0), 1)
+            np.add.at(edge, at + SLACK + 1 + base, -1)
+            allowed += np.cumsum(edge[:-1]) > 0
+        return np.flatnonzero(allowed == len(self.phrases[t])) - base
 
 
 def _frequencies(vocabulary: frozenset[bytes]):
@@ -145,7 +157,7 @@ def license_scan(docs: DataFrame, templates: tuple = TEMPLATES, phrases: dict[st
     """Counts and places of the phrases, and all labels, of every row.
 
     score is the highest score of an aligned template, or 1 where a phrase stands, or 0. A null or empty text has no words: its places are
-    null, its labels empty strings. A null doc_id is scanned like others; repeated rows have a result each. Columns beside
+    null, its labels empty strings. Ties: of equal scores any is the same. Long texts are scanned whole. A null doc_id is scanned like others; repeated rows have a result each. Columns beside
     doc_id and text are ignored; an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(build(docs, templates))

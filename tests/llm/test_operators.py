@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -328,9 +329,18 @@ def test_license_templates_align(spark):
     assert got.labels[1] == "bsd" and got.score[1] > 0.9 and got.labels[2] == "" and got.labels[3] == ""
 
 
+def test_license_scan_of_a_long_text_of_phrases():
+    words = [w for t in license_scan.TEMPLATES for w in license_scan.words_of(t[2].encode())]
+    words = (words * (500_000 // len(words) + 1))[:500_000]
+    began = time.perf_counter()
+    found = license_scan.Index(documents=9).scan(words, b" " + b" ".join(words) + b" ")
+    assert set(found) == {t[0] for t in license_scan.TEMPLATES} and time.perf_counter() - began < 30
+
+
 def test_license_bundle_has_every_template(spark):
     rng = np.random.default_rng(6)
-    bundles = [license_scan.TEMPLATES, license_scan.TEMPLATES[4:], [t for t in license_scan.TEMPLATES[4:] if t[0] in ("mit", "bsd", "mpl-2.0", "lgpl", "isc")]]
+    every = license_scan.TEMPLATES
+    bundles = [every, every[:10], [t for t in every if t[0] in ("mit", "bsd", "mpl-2.0", "lgpl", "isc")], *([a, b] for a in every for b in every if a < b)]
     texts = [f" {prose(rng, 30)} ".join(t[2] for t in b) for b in bundles]
     # one word of each notice is inserted or gone
     texts += [" ".join(w for i, w in enumerate(x.split()) if i % 23) for x in texts] + [" ".join(f"{w} odd" if i % 23 == 0 else w for i, w in enumerate(x.split())) for x in texts]
@@ -338,7 +348,7 @@ def test_license_bundle_has_every_template(spark):
     for k, b in enumerate(bundles):
         assert got.labels[k] == ",".join(sorted({t[0] for t in b} | set(filter(None, got.base_labels[k].split(",")))))
     index = license_scan.Index(frequency={b"gnu": 2, b"the": 90}, documents=100)
-    for text in texts:
+    for text in texts[:3] + texts[len(bundles) : len(bundles) + 3] + texts[2 * len(bundles) :: 7]:
         words = license_scan.words_of(text.encode())
         line = b" " + b" ".join(words) + b" "
         want = {}
@@ -349,7 +359,7 @@ def test_license_bundle_has_every_template(spark):
                 hits = [index.idf[w] for k, w in enumerate(lined) if w in words[max(0, start + k - slack) : max(0, start + k + slack + 1)]]
                 if all(p in stretch for p in index.phrases[t]) and len(hits) >= license_scan.LEAST_VOTES and sum(hits) / index.mass[t] >= license_scan.LEAST_SCORE:
                     want[label] = max(want.get(label, 0.0), min(1.0, sum(hits) / index.mass[t]))
-        assert index.scan(words, line) == pytest.approx(want) and want
+        assert index.scan(words, line) == pytest.approx(want) and (want or text not in texts[:3])
 
 
 # Classifiers

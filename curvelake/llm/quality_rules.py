@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from . import quality_classifier, shared, textvec
 
-BITS = 16
+#: Buckets of n-grams, and buckets that a row of counts holds.
+BITS, SLICE = 20, 1 << 14
 #: Added to each bucket's count, as a part of the mean count.
 SMOOTHING = 0.5
 #: Least mean log-likelihood ratio of a document that is kept.
@@ -40,8 +41,22 @@ def grams(x: textvec.Texts, w: textvec.Words, h: np.ndarray) -> tuple[np.ndarray
     return np.concatenate(docs), np.concatenate(found)
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold the largest, whose number comes first."""
+    kind = np.min_scalar_type(int(x.max()))
+    return bytes([kind.itemsize]) + x.astype(kind).tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
+def _rows(totals: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), *(pa.array([_narrow(t[k]) for t in totals.values()], pa.binary()) for k in (0, 1))], names=["slice", "raw", "trusted"])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a task has seen, a row for each bucket: of all its documents and of the trusted ones."""
+    """What a task has seen, in slices of the buckets: of all its documents and of the trusted ones."""
     total = np.zeros((2, 1 << BITS), np.int64)
     for batch in batches:
         trusted = np.array(batch.column("trusted").to_pylist(), bool)
@@ -49,10 +64,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = x.words()
             doc, found = grams(x, w, w.hashes())
             total[0] += np.bincount(found, minlength=1 << BITS)
-            total[1] += np.bincount(found[trusted[lo:hi][doc]], minlength=1 << BITS)
-    used = np.flatnonzero(total[0])
-    if len(used):
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0, used]), pa.array(total[1, used])], names=["bucket", "raw", "trusted"])
+            if trusted[lo:hi].any():
+                total[1] += np.bincount(found[trusted[lo:hi][doc]], minlength=1 << BITS)
+    if total.any():
+        parts = np.split(total, range(SLICE, 1 << BITS, SLICE), 1)
+        yield _rows(dict(enumerate(parts)))
+
+
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of slices, as they come in."""
+    totals: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, *both in zip(*(batch.column(c).to_pylist() for c in ("slice", "raw", "trusted"))):
+            totals[i] = totals.get(i, 0) + np.stack([_wide(x) for x in both])
+    if totals:
+        yield _rows(totals)
 
 
 def ratios(raw: np.ndarray, trusted: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
@@ -66,14 +92,16 @@ def ratios(raw: np.ndarray, trusted: np.ndarray, smoothing: float = SMOOTHING) -
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndarray:
     """The log ratios by bucket. Trusted are documents labelled 1 that aren't held out; counts cover them all and all documents.
 
-    The join shuffles both sides at any size: the trusted ids grow with the labels. Each task sends at most 2**BITS sums; the driver gets as many rows.
+    The join shuffles both sides at any size: the trusted ids grow with the labels. Each task sends its counts of 2**BITS buckets in slices,
+    a byte or two each; the driver gets their sums.
     """
     ids = labels.where((F.col(label) == 1) & F.col("doc_id").isNotNull() & ~shared.held_out(F.col("doc_id")))
     ids = ids.select(F.col("doc_id").cast("long").alias("_id")).distinct().hint("merge")
     rows = shared.texts(docs).join(ids, F.col("doc_id") == F.col("_id"), "left").select("text", F.col("_id").isNotNull().alias("trusted"))
-    got = rows.mapInArrow(_count, "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toPandas()
+    kind = "slice int, raw binary, trusted binary"
     total = np.zeros((2, 1 << BITS), np.int64)
-    total[:, got["bucket"].to_numpy(np.int64)] = got[["raw", "trusted"]].to_numpy(np.int64).T
+    for r in rows.mapInArrow(_count, kind).repartition("slice").mapInArrow(_sum, kind).collect():
+        total[:, r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = _wide(r["raw"]), _wide(r["trusted"])
     return ratios(total[0], total[1])
 
 
@@ -110,7 +138,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     """Counts, verdict of the base rules, the method's value llr and its verdict with theirs, for every row of docs.
 
     A null text counts as empty: it has no words and fails the base rules. Without trusted documents each ratio is 0. A null doc_id is judged
-    like others, repeated rows each for themselves; columns beside doc_id and text are ignored, an empty table gives an empty result.
+    like others, repeated rows each for themselves, long texts whole; ties don't matter; columns beside doc_id and text are ignored, an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 

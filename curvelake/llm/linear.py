@@ -128,7 +128,8 @@ def _scores(x: textvec.Texts, featurise: Featuriser, w: np.ndarray) -> np.ndarra
 
 
 def keep(docs: DataFrame, featurise: Featuriser, weights: np.ndarray, threshold: float) -> DataFrame:
-    """The rows of docs, all columns, that score the threshold or more; decided in the scan."""
+    """The rows of docs, all columns, that score the threshold or more; decided in the scan. A null text scores like an empty one; each row
+    is judged by its whole text alone."""
     shared.small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 

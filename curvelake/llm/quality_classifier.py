@@ -59,11 +59,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
     Learns from labelled rows that aren't held out, at most `rows` of them; without any, all scores are 0.5. A null or empty
     text has the score of the bias. Conflicting or missing labels teach nothing. A null doc_id is scored like others. Columns beside
-    doc_id and text are ignored; an empty table gives an empty result. Repeated rows get one score each.
+    doc_id and text are ignored; an empty table gives an empty result. Repeated rows get one score each; long texts are scored whole.
     """
     return linear.score(docs, features, train(docs, labels, **parameters), threshold)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **parameters) -> DataFrame:
-    """The rows of docs, all columns, that quality_scores predicts as 1."""
+    """The rows of docs, all columns, that quality_scores predicts as 1: null, repeated, long and empty ones are judged as there. A score that
+    ties with the threshold stays."""
     return linear.keep(docs, features, train(docs, labels, **parameters), threshold)

@@ -94,7 +94,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
     Learns from labelled rows that aren't held out, at most `rows` of them; without any, all scores are 0.5 and predict 1 at the
     default threshold. A null or empty text has the score of the bias. Conflicting or missing labels teach nothing. A null doc_id is scored
-    like others. Columns beside doc_id and text are ignored; an empty table gives an empty result.
+    like others, long texts whole, repeated rows each for themselves. Columns beside doc_id and text are ignored; an empty table gives an empty result.
     """
     weights = train(docs, labels, **parameters)
     return linear.score(docs, Scored(weights), weights, threshold)

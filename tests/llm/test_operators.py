@@ -143,7 +143,7 @@ def test_drop_repeats_keeps_other_texts(docs, empty):
 # Jaccard
 
 
-def brute_components(rows, k=4):
+def brute_components(rows, k=4, num=85, den=100):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []
     for r in rows:
@@ -152,7 +152,7 @@ def brute_components(rows, k=4):
     label = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
                 a, b = label[i], label[j]
                 label = [b if x == a else x for x in label]
     least = {}
@@ -415,30 +415,40 @@ def test_quality_keep_filters_rows(spark, docs):
     assert kept.columns == docs.columns and kept.count() == scores.where("predicted = 1").count()
 
 
+def one_each(rows, groups):
+    """Of each group the row of the least doc_id, null last; rows of group None stay."""
+    best = {}
+    for i, ((doc, *_), g) in enumerate(zip(rows, groups)):
+        key = (doc is None, doc or 0, i)
+        if g is not None and key < best.get(g, (True, float("inf"), 0)):
+            best[g] = key
+    return [r for i, (r, g) in enumerate(zip(rows, groups)) if g is None or best[g][2] == i]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
     rng = np.random.default_rng(4)
-    rows = [r for r in ROWS if r[0] is not None][:-1]
-    spark.createDataFrame(rows, KIND).write.parquet(f"{tmp_path}/documents.parquet")
+    kind = KIND + ", _gone int, _ int, rest int, _doc int"
+    spark.createDataFrame([(*r, 1, 2, 3, 4) for r in [*ROWS, *ROWS[-12:]]], kind).write.parquet(f"{tmp_path}/documents.parquet")
     bad = [(1001 + i, " ".join(f"{x}@@" for x in prose(rng, 40).split())) for i in range(40)]
-    spark.createDataFrame([(i, t, "en", "s", len(t), 0.0, False) for i, t in bad], KIND).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(r[0], 1, 0) for r in rows] + [(i, 0, 0) for i, _ in bad], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, t, "en", "s", len(t), 0.0, False, 1, 2, 3, 4) for i, t in bad], kind).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], 1, 0) for r in ROWS] + [(i, 0, 0) for i, _ in bad], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     now = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    kept = {r.doc_id for r in quality_classifier.quality_scores(now, spark.read.parquet(f"{tmp_path}/labels.parquet")).where("predicted = 1").collect()}
-    every = {r.doc_id: r.text for r in now.collect()}
-    left = {i: t for i, t in every.items() if i in kept}
-    assert not {i for i, _ in bad} & kept
-    norm = {}
-    for i in sorted(left):
-        norm.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", left[i] or ""), i)
-    left = {i: left[i] for i in norm.values()}
-    named = {c for _, _, c in brute_components([(i, t) for i, t in left.items()])}
-    left = {i: t for i, t in left.items() if i in named}
-    words, shorter = brute_removed(list(left.items()), 50)
-    left = {i: (t if len(WORDS.findall(k)) == len(w) else k) for (i, t), w, k in zip(left.items(), words, shorter) if not w or k}
+    scored = quality_classifier.quality_scores(now, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()
+    good = quality_classifier.keep_good(now, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()
+    assert collections.Counter(r.doc_id for r in good) == collections.Counter(r.doc_id for r in scored if r.predicted)
+    left = [(r.doc_id, r.text) for r in good]
+    assert not {i for i, _ in bad} & {i for i, _ in left} and sum(i is None for i, _ in left) > 2
+    left = one_each(left, [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in left])
+    far = [(k, t) for k, (_, t) in enumerate(left)]  # by place, so that null ids have components too
+    left = one_each(left, [c if n else None for _, n, c in brute_components(far, 5, 80)])
+    words, shorter = brute_removed(left, 50)
+    left = [(i, t if len(WORDS.findall(k)) == len(w) else k) for (i, t), w, k in zip(left, words, shorter) if not w or k]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "n-gram jaccard join", "substring dedup", "packing"]
     pieces = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
-    want = {i: len(x) + 1 for i, x in zip(left, library_ids([t or "" for t in left.values()]))}
-    assert pieces.groupby("doc_id").length.sum().to_dict() == want
+    want = collections.Counter()
+    for (i, _), x in zip(left, library_ids([t or "" for _, t in left])):
+        want[-1 if i is None else i] += len(x) + 1
+    assert pieces.fillna({"doc_id": -1}).groupby("doc_id").length.sum().to_dict() == want
     assert isinstance(pieces, pd.DataFrame)

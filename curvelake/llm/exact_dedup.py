@@ -169,14 +169,14 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from sent()
 
 
-def combined(leads: DataFrame, ws: shared.Workspace, share: int) -> DataFrame:
-    """leads, with at most COMBINED rows of each key whose texts weigh more than `share`."""
+def combined(leads: DataFrame, ws: shared.Workspace, share: int) -> tuple[DataFrame, int]:
+    """leads, with at most COMBINED rows of each key whose texts weigh more than `share`, and how many rounds it took."""
     k = 0
     while True:
         heavy = leads.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).where((F.col("n") > COMBINED) & (F.col("bytes") > share))
         heavy = ws.write(heavy.select("key", F.least(F.ceil(F.col("bytes") / share), F.ceil(F.col("n") / COMBINED)).alias("parts")), f"heavy-{k}")
         if heavy.isEmpty():
-            return leads
+            return leads, k + 1
         salted = leads.join(heavy, "key").withColumn("salt", F.pmod(F.xxhash64("run", F.lit(k)), "parts"))
         merged = salted.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_merge, _LEADS)
         rest = leads.join(heavy.hint("shuffle_hash"), "key", "left_anti").select(*_LEADS_ARROW.names)
@@ -185,7 +185,7 @@ def combined(leads: DataFrame, ws: shared.Workspace, share: int) -> DataFrame:
 
 def write_index(folder: str, index: ExtendibleHash) -> str:
     """The directory, where each bucket begins, and the buckets' entries by key; equal keys are a chain."""
-    store, path = tokens.filesystem(folder)
+    store, path = shared.filesystem(folder)
     number, starts, entries = {}, [0], []
     for _, b in index.buckets():
         number[id(b)] = len(number)
@@ -206,7 +206,7 @@ class IndexFile:
     """An owner's index, as read from its file."""
 
     def __init__(self, folder: str, name: str) -> None:
-        store, path = tokens.filesystem(folder)
+        store, path = shared.filesystem(folder)
         with store.open_input_stream(f"{path}/{name}") as f:
             raw = f.read()
         if raw[:8] != MAGIC:
@@ -272,7 +272,7 @@ def _grouped(ws: shared.Workspace, texts: DataFrame, owner_bytes: int, bucket_ke
     """id, row, keep_id, group_size, kept and sha of every row (row, doc, text)."""
     spark = texts.sparkSession
     runs = ws.write(texts.select("row", "doc", "text").mapInArrow(_runs(held_bytes), _RUNS), "runs")
-    leads = combined(runs.select(*_LEADS_ARROW.names), ws, owner_bytes)
+    leads, k = combined(runs.select(*_LEADS_ARROW.names), ws, owner_bytes)
     total = leads.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     owners = shared.parts(spark, total, owner_bytes)
     bits = (owners - 1).bit_length()
@@ -280,6 +280,7 @@ def _grouped(ws: shared.Workspace, texts: DataFrame, owner_bytes: int, bucket_ke
     owner = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")
     keyed = leads.withColumn("owner", owner).repartitionById(owners, F.col("owner").cast("int"))
     files = ws.write(keyed.mapInArrow(_owner(bucket_keys, f"{ws.path}/index"), "owner long, file string"), "files")
+    ws.drop(*(f"{t}-{i}" for t in ("heavy", "leads") for i in range(k)))
     few = runs.select(owner.alias("owner"), "key", "sha", "run", "ids", "rows")
     parts = files.join(few.groupBy("owner").agg(F.ceil(F.count("*") / LOOKUP_RUNS).alias("parts")), "owner")
     dealt = few.join(parts, "owner").withColumn("salt", F.pmod(F.xxhash64("run"), "parts"))
@@ -309,5 +310,6 @@ def exact_dedup(docs: DataFrame, owner_bytes: int = OWNER_BYTES, bucket_keys: in
     """
     ws = shared.Workspace(docs.sparkSession, "exact")
     numbered = shared.Numbered(ws, docs)
-    kept = _grouped(ws, numbered.texts(), owner_bytes, bucket_keys, held_bytes).where("kept").select("row")
-    return numbered.named(numbered.table.join(kept, "row", "left_semi"))
+    out = numbered.kept(_grouped(ws, numbered.texts(), owner_bytes, bucket_keys, held_bytes).where("kept").select("row"))
+    ws.drop("runs", "files", "index")
+    return out

@@ -36,7 +36,7 @@ GROUPS, LEAF, FAN = 256, 16, 8
 #: Counters of the table that orders shingles.
 ORDER_BITS, SLICE = 18, 1 << 14
 #: Shingles of a candidate group, and classes of a bucket, that one task holds; larger ones are dealt into blocks of half of it.
-TASK_SHINGLES, TASK_CLASSES = 2_000_000, 1000
+TASK_SHINGLES, TASK_CLASSES = 2_000_000, 20_000
 #: Members of a larger group that all its others meet first.
 PIVOTS = 4
 NO_ID = shared.NO_ID
@@ -134,11 +134,12 @@ def points(g: np.ndarray, at: np.ndarray, groups: int = GROUPS) -> np.ndarray:
 
 
 def packed(point: np.ndarray) -> bytes:
-    return point.astype("<u2" if point.max() < 1 << 16 else "<u4").tobytes()
+    most = point.max()
+    return point.astype("u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
 
 
 def unpacked(raw: bytes, groups: int = GROUPS) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if len(raw) == 2 * groups else "<u4").astype(np.int32)
+    return np.frombuffer(raw, f"<u{len(raw) // groups}").astype(np.int32)
 
 
 def _prefixes(k: int, num: int, den: int, sent):
@@ -428,9 +429,12 @@ def _classed(docs: shared.Numbered, k: int, num: int, den: int, task_shingles: i
     repeats = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most"), *halves).where("least < most")
     buckets = repeats.withColumn("bucket", F.min("key").over(Window.partitionBy("n", "least", "most", "x", "y"))).where("key = bucket").select("key", "n").hint("merge")
     members = ws.write(keyed.join(buckets, "key").select(F.col("key").alias("grp"), "node", F.lit(1).cast("long").alias("weight"), F.col("n").alias("load")), "buckets")
-    may = linked(ws, "may", members, prefixes.where("point is not null").select("node", "point"), task_classes, Bound(num, den))
+    point = prefixes.where("point is not null").select("node", "point").join(members.select("node").distinct().hint("shuffle_hash"), "node", "left_semi")
+    point = ws.write(point, "points")
+    ws.drop("prefixes")
+    may = linked(ws, "may", members, point, task_classes, Bound(num, den))
     groups = components(may, ws, "candidates")
-    ws.drop("prefixes", "buckets", "may", "may-met", "may-rest")
+    ws.drop("points", "buckets", "may", "may-met", "may-rest")
 
     grouped = groups.join(classes.select("node", F.col("n").alias("weight")), "node")
     load = grouped.groupBy("component").agg(F.sum("weight").alias("load"))
@@ -470,5 +474,6 @@ def near_dedup(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: int
     Null and repeated doc_ids, null, empty and long texts are as in jaccard_components: rows without a word are linked with nothing and stay.
     """
     numbered = shared.Numbered(shared.Workspace(docs.sparkSession, "jaccard"), docs)
-    kept = _classed(numbered, k, num, den, task_shingles, task_classes).where("row = least_row").select("row")
-    return numbered.named(numbered.table.join(kept, "row", "left_semi"))
+    out = numbered.kept(_classed(numbered, k, num, den, task_shingles, task_classes).where("row = least_row").select("row"))
+    numbered.ws.drop("sets", "classed")
+    return out

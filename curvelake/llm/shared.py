@@ -11,7 +11,12 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,13 +50,16 @@ class Workspace:
     def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """df as a table; the shuffle files of its making go with the write."""
         to = f"{self.path}/{name}"
+        self.cleaned(lambda: df.write.option("compression", codec).parquet(to))
+        return self.spark.read.schema(df.schema).parquet(to)
+
+    def cleaned(self, job: Callable[[], None]) -> None:
         before = self.spark.conf.get(_CLEANUP)
         self.spark.conf.set(_CLEANUP, "true")
         try:
-            df.write.option("compression", codec).parquet(to)
+            job()
         finally:
             self.spark.conf.set(_CLEANUP, before)
-        return self.spark.read.schema(df.schema).parquet(to)
 
     def drop(self, *names: str) -> None:
         """The named tables, whose last reader has run; the whole folder without a name."""
@@ -90,6 +98,18 @@ def texts(docs: DataFrame) -> DataFrame:
     return rows.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
 
 
+def filesystem(uri: str):
+    """The file system and path of a URI: executors write and read files of their own formats through it."""
+    return fs.FileSystem.from_uri(uri)
+
+
+def _ids(uri: str) -> np.ndarray:
+    """The row ids of a folder of Parquet files; none where it is missing."""
+    store, path = filesystem(uri)
+    files = store.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    return np.concatenate([np.zeros(0, np.int64), *(pq.read_table(f.path, columns=["row"], filesystem=store, partitioning=None)["row"].to_numpy() for f in files if f.path.endswith(".parquet"))])
+
+
 class Numbered:
     """docs as a table whose rows have ids of their own: doc_ids may be null or come twice, and a recomputed row keeps its id."""
 
@@ -103,9 +123,28 @@ class Numbered:
         """row, doc (a null doc_id as NO_ID), text (null as empty) and what else is asked for."""
         return self.table.select("row", F.coalesce(F.col(self.doc).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(self.text, F.lit("")).alias("text"), *more)
 
-    def named(self, rows: DataFrame) -> DataFrame:
-        """Rows of the table under their own names."""
-        return rows.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(self.names)))
+    def kept(self, rows: DataFrame) -> DataFrame:
+        """Those of the table, under their own names, whose ids are in rows (row).
+
+        No text is shuffled for it: the ids go to a folder for each partition that gave them out, and the scan of the table looks them up there.
+        """
+        at = f"{self.ws.path}/kept"
+        part = F.shiftright("row", 33).alias("part")
+        self.ws.cleaned(lambda: rows.select("row", part).repartition("part").write.partitionBy("part").parquet(at))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, ids = None, np.zeros(0, np.int64)
+            for batch in batches:
+                own = batch.column("row").to_numpy()
+                keep = np.zeros(len(own), bool)
+                for p in np.unique(own >> 33).tolist():
+                    if p != now:
+                        now, ids = p, _ids(f"{at}/part={p}")
+                    keep |= (own >> 33 == p) & np.isin(own, ids)
+                yield batch.filter(pa.array(keep))
+
+        found = self.table.mapInArrow(run, self.table.schema)
+        return found.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(self.names)))
 
     def drop(self) -> None:
         self.ws.drop("rows")

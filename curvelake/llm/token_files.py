@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import shared, textvec
-from .tokens import encoder, filesystem, tokenizer_path
+from .shared import filesystem
+from .tokens import encoder, tokenizer_path
 
 MAGIC = b"RANKVB01"
 SHARD_IDS = 4_000_000

@@ -30,13 +30,6 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def filesystem(uri: str):
-    """The file system and path of a URI: executors write and read files of their own formats through it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 class Encoder:
     """added: whether the string of an added token in a text becomes that token, as the library has it by default, or ordinary ids."""
 

@@ -416,22 +416,21 @@ def _classed(docs: shared.Numbered, k: int, num: int, den: int, task_shingles: i
     least = F.min(F.struct("doc", "row"))
     classes = sets.where("n_shingles > 0").groupBy("s1", "s2").agg(least.alias("keeper"), F.max("n_shingles").alias("n"))
     classes = ws.write(classes.select("s1", "s2", "keeper.doc", F.col("keeper.row").alias("node"), "n"), "classes")
-    # Neither this join nor that of the groups may turn to a broadcast on small inputs: both sides grow with the corpus.
-    texts = docs.texts().join(classes.select("node").hint("shuffle_hash"), F.col("row") == F.col("node")).select("node", "text")
-    texts = ws.write(texts, "texts")
+    texts = docs.found(classes.select(F.col("node").alias("row")), "class-rows", docs.texts()).select(F.col("row").alias("node"), "text")
 
     sent = spark.sparkContext.broadcast(table)
     prefixes = ws.write(texts.mapInArrow(_prefixes(k, num, den, sent), "key long, node long, point binary"), "prefixes")
     keyed = prefixes.where("key is not null").select("key", "node")
-    # Sums of two halves of a hash name a bucket's classes.
-    h = F.xxhash64("node")
-    halves = F.sum(h.bitwiseAND(2**31 - 1)).alias("x"), F.sum(F.shiftrightunsigned(h, 33)).alias("y")
-    repeats = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most"), *halves).where("least < most")
-    buckets = repeats.withColumn("bucket", F.min("key").over(Window.partitionBy("n", "least", "most", "x", "y"))).where("key = bucket").select("key", "n").hint("merge")
-    members = ws.write(keyed.join(buckets, "key").select(F.col("key").alias("grp"), "node", F.lit(1).cast("long").alias("weight"), F.col("n").alias("load")), "buckets")
+    repeats = keyed.groupBy("key").count().where("count > 1").select("key").hint("merge")
+    repeated = ws.write(keyed.join(repeats, "key"), "repeated")
+    # Hashes of its classes, two of them, name a bucket's set of classes.
+    same = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in (0, 1)]
+    buckets = repeated.groupBy("key").agg(F.count("*").alias("n"), *same)
+    buckets = buckets.withColumn("bucket", F.min("key").over(Window.partitionBy("n", "h0", "h1"))).where("key = bucket").select("key", "n").hint("merge")
+    members = ws.write(repeated.join(buckets, "key").select(F.col("key").alias("grp"), "node", F.lit(1).cast("long").alias("weight"), F.col("n").alias("load")), "buckets")
     point = prefixes.where("point is not null").select("node", "point").join(members.select("node").distinct().hint("shuffle_hash"), "node", "left_semi")
     point = ws.write(point, "points")
-    ws.drop("prefixes")
+    ws.drop("prefixes", "repeated", "class-rows")
     may = linked(ws, "may", members, point, task_classes, Bound(num, den))
     groups = components(may, ws, "candidates")
     ws.drop("points", "buckets", "may", "may-met", "may-rest")
@@ -439,9 +438,10 @@ def _classed(docs: shared.Numbered, k: int, num: int, den: int, task_shingles: i
     grouped = groups.join(classes.select("node", F.col("n").alias("weight")), "node")
     load = grouped.groupBy("component").agg(F.sum("weight").alias("load"))
     grouped = ws.write(grouped.join(load, "component").select(F.col("component").alias("grp"), "node", "weight", "load"), "groups")
+    texts = docs.found(grouped.select(F.col("node").alias("row")), "group-rows", docs.texts()).select(F.col("row").alias("node"), "text")
     found = linked(ws, "links", grouped.hint("shuffle_hash"), texts, task_shingles, Exact(k, num, den))
     joined = components(found, ws, "joined")
-    ws.drop("texts", "groups", "links", "links-met", "links-rest")
+    ws.drop("group-rows", "groups", "links", "links-met", "links-rest")
     named = joined.join(classes.select("node", "doc"), "node")
     names = named.groupBy("component").agg(F.min(F.struct("doc", F.col("node").alias("row"))).alias("least"))
     named = named.join(names, "component").select("node", "least")

@@ -123,12 +123,13 @@ class Numbered:
         """row, doc (a null doc_id as NO_ID), text (null as empty) and what else is asked for."""
         return self.table.select("row", F.coalesce(F.col(self.doc).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(self.text, F.lit("")).alias("text"), *more)
 
-    def kept(self, rows: DataFrame) -> DataFrame:
-        """Those of the table, under their own names, whose ids are in rows (row).
+    def found(self, rows: DataFrame, name: str, of: DataFrame | None = None) -> DataFrame:
+        """Those rows of the table, or of a selection from it, whose ids are in rows (row).
 
-        No text is shuffled for it: the ids go to a folder for each partition that gave them out, and the scan of the table looks them up there.
+        No text is shuffled for it: the ids go to a folder, `name`, for each partition that gave them out, and the scan of the table looks
+        them up there.
         """
-        at = f"{self.ws.path}/kept"
+        at, of = f"{self.ws.path}/{name}", self.table if of is None else of
         part = F.shiftright("row", 33).alias("part")
         self.ws.cleaned(lambda: rows.select("row", part).repartition("part").write.partitionBy("part").parquet(at))
 
@@ -143,8 +144,11 @@ class Numbered:
                     keep |= (own >> 33 == p) & np.isin(own, ids)
                 yield batch.filter(pa.array(keep))
 
-        found = self.table.mapInArrow(run, self.table.schema)
-        return found.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(self.names)))
+        return of.mapInArrow(run, of.schema)
+
+    def kept(self, rows: DataFrame) -> DataFrame:
+        """The rows that found() gives, under their own names."""
+        return self.found(rows, "kept").select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(self.names)))
 
     def drop(self) -> None:
         self.ws.drop("rows")

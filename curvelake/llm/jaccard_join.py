@@ -33,6 +33,8 @@ from .components import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 4, 85, 100
 GROUPS, LEAF, FAN = 256, 16, 8
+#: Sets of more shingles than FINE_FROM have points of FINE groups, a multiple of GROUPS: the more shingles a group has, the looser the bound.
+FINE, FINE_FROM = 1024, 768
 #: Counters of the table that orders shingles.
 ORDER_BITS, SLICE = 18, 1 << 14
 #: Shingles of a candidate group, and classes of a bucket, that one task holds; larger ones are dealt into blocks of half of it.
@@ -133,13 +135,20 @@ def points(g: np.ndarray, at: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return np.bincount(cell, minlength=n * groups).reshape(n, groups)
 
 
-def packed(point: np.ndarray) -> bytes:
-    most = point.max()
-    return point.astype("u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+def packed(g: np.ndarray) -> bytes:
+    """The point of a set: the bytes of a count, then the counts."""
+    point = points(g, np.array([0, len(g)]), FINE if len(g) > FINE_FROM else GROUPS)[0]
+    kind = np.min_scalar_type(int(point.max(initial=0)))
+    return bytes([kind.itemsize]) + point.astype(kind).tobytes()
 
 
-def unpacked(raw: bytes, groups: int = GROUPS) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{len(raw) // groups}").astype(np.int32)
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int32)
+
+
+def folded(point: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """A point of fewer groups."""
+    return point.reshape(-1, groups).sum(0)
 
 
 def _prefixes(k: int, num: int, den: int, sent):
@@ -152,8 +161,7 @@ def _prefixes(k: int, num: int, den: int, sent):
             for lo, hi, x in textvec.slices(batch):
                 g, at = shingle_sets(x, k)
                 n, own = np.diff(at), nodes[lo:hi]
-                counts = points(g, at)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.array(own), pa.array([packed(p) for p in counts], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.array(own), pa.array([packed(g[a:b]) for a, b in zip(at, at[1:])], pa.binary())], names=names)
                 doc = np.repeat(np.arange(len(n)), n)
                 rank = table[(g >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
                 order = np.lexsort((g, rank, doc))
@@ -275,7 +283,8 @@ def links(left: list[np.ndarray], right: list[np.ndarray] | None, num: int = NUM
 
 
 def may_link(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
-    n, m = int(a.sum()), int(b.sum())
+    n, m, groups = int(a.sum()), int(b.sum()), min(len(a), len(b))
+    a, b = folded(a, groups), folded(b, groups)
     return den * min(n, m) >= num * max(n, m) and int(np.minimum(a, b).sum()) >= least_overlap(n, m, num, den)
 
 
@@ -294,7 +303,9 @@ class Bound:
     def forest(self, left: list, right: list | None) -> list[tuple[int, int]]:
         if right is None and len(left) == 2:
             return [(0, 1)] if self.linked(*left) else []
-        return forest(np.array(left), None if right is None else np.array(right), lambda q, j: True, self.num, self.den)
+        other = left if right is None else right
+        plain = [None if x is None else np.array([folded(p) for p in x]) for x in (left, right)]
+        return forest(*plain, lambda q, j: len(left[q]) == GROUPS or len(other[j]) == GROUPS or self.linked(left[q], other[j]), self.num, self.den)
 
 
 class Exact:

@@ -42,11 +42,13 @@ _PIECES_ARROW = pa.schema([(c.split()[0], pa.int64()) for c in _PIECES.split(",
 def candidates(doc_ends: np.ndarray, sentence_ends: np.ndarray, length: int = LENGTH, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Ascending cut positions, from 0 to the last document's end, and their costs; no gap exceeds length."""
     total = int(doc_ends[-1]) if len(doc_ends) else 0
-    at = np.unique(np.concatenate([[0], doc_ends, sentence_ends, [total]]).astype(np.int64))
+    here = np.zeros(total + 1, np.uint8)
+    here[np.asarray(sentence_ends, np.int64)] = 1
+    here[np.asarray(doc_ends, np.int64)] = here[[0, total]] = 2
+    at = np.flatnonzero(here)
     gaps = np.flatnonzero(np.diff(at) > length)
     breaks = [np.arange(at[g] + min(stride, length), at[g + 1], min(stride, length)) for g in gaps.tolist()]
-    cost = np.full(len(at), SENTENCE_COST, np.int64)
-    cost[np.isin(at, doc_ends) | (at == 0)] = 0
+    cost = np.where(here[at] == 2, 0, SENTENCE_COST)
     if breaks:
         extra = np.concatenate(breaks)
         at, cost = np.concatenate([at, extra]), np.concatenate([cost, np.full(len(extra), BREAK_COST)])

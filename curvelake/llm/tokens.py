@@ -77,7 +77,7 @@ class Encoder:
         get = self.pieces.get
         split = [None if _OTHER.search(t) or any(a in t for a in self.added) else _PIECES.findall(t) for t in texts]
         coded = [None if p is None else list(map(get, p)) for p in split]
-        gaps = [[] if c is None else [i for i, x in enumerate(c) if x is None] for c in coded]
+        gaps = [[i for i, x in enumerate(c) if x is None] if c is not None and None in c else [] for c in coded]
         new = {p[i] for p, at in zip(split, gaps) for i in at}
         if new:
             self._learn(list(new))

@@ -137,9 +137,11 @@ def delayed_kuramoto(w: np.ndarray, delay: np.ndarray, omega: np.ndarray, coupli
 def simulate_delayed_kuramoto(runs: DataFrame, connectome: DataFrame, n: int, omega_mean: float = 40.0, omega_std: float = 1.0, velocity: float = 1.65, dt: float = 1e-3, t_max: float = 1.0, t_skip: float = 0.0, noise: float = 0.1) -> DataFrame:
     """signal of runs (run, coupling, seed) on a directed connectome (u, v, weight, length in m); the first t_skip is cut.
 
-    The connectome, n * n cells at most, goes to every run with the group.
+    The connectome, n * n cells at most, goes to every run with the group; more rows than that, as of repeated cells, are an error.
     """
-    cells = [(int(r["u"]), int(r["v"]), float(r["weight"]), float(r["length"])) for r in connectome.select("u", "v", "weight", "length").limit(n * n).collect()]
+    cells = [(int(r["u"]), int(r["v"]), float(r["weight"]), float(r["length"])) for r in connectome.select("u", "v", "weight", "length").limit(n * n + 1).collect()]
+    if len(cells) > n * n or len({c[:2] for c in cells}) < len(cells):
+        raise ValueError("the connectome has repeated cells or nodes beyond n")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.iloc[0]

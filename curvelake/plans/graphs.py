@@ -129,7 +129,7 @@ def symmetrised(spark: SparkSession, d: str) -> DataFrame:
     return gr.symmetrise(y.unionByName(other))
 
 
-@query("WITH " + YEAR + """, cells AS (SELECT u, v, weight, weight * 10 AS tract FROM y WHERE graph_id = (SELECT min(graph_id) FROM y)),
+@query("WITH " + YEAR + """, cells AS (SELECT u, v, sum(weight) AS weight, sum(weight) * 10 AS tract FROM y GROUP BY 1, 2),
     bothc AS (SELECT u, v, weight, tract FROM cells UNION ALL SELECT v, u, weight, tract FROM cells)
     SELECT u, v, round(sum(weight) / 2, 6) AS weight, round(sum(tract) / 2000, 6) AS length FROM bothc GROUP BY 1, 2""")
 def connectome(spark: SparkSession, d: str) -> DataFrame:
@@ -137,12 +137,11 @@ def connectome(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
-    y = yearly(spark, d)
-    first = y.agg(F.min("graph_id").alias("graph_id"))
-    return y.join(F.broadcast(first), "graph_id", "left_semi").select("u", "v", "weight", (F.col("weight") * 10).alias("tract"))
+    """All years' trade as one graph."""
+    return yearly(spark, d).groupBy("u", "v").agg(F.sum("weight").alias("weight")).select("u", "v", "weight", (F.col("weight") * 10).alias("tract"))
 
 
-_DIRECTED = YEAR + ", w AS (SELECT u, v, weight FROM y WHERE graph_id = (SELECT min(graph_id) FROM y)), con AS (SELECT u, v, weight FROM w UNION ALL SELECT v, u, weight FROM w)"
+_DIRECTED = YEAR + ", w AS (SELECT u, v, sum(weight) AS weight FROM y GROUP BY 1, 2), con AS (SELECT u, v, weight FROM w UNION ALL SELECT v, u, weight FROM w)"
 
 
 def _directed(spark: SparkSession, d: str) -> DataFrame:
@@ -375,31 +374,25 @@ def assortativity(spark: SparkSession, d: str) -> DataFrame:
     return rounded(mt.compute_assortativity(pruned(spark, d)))
 
 
-_HEAVY = "WITH RECURSIVE " + PRUNED.replace(", e AS", ", e0 AS") + ", e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY weight DESC, u, v) AS r FROM e0) WHERE r <= 20)" + BOTH
-
+_WALKED = "WITH RECURSIVE " + PRUNED + BOTH
 
-def heavy(spark: SparkSession, d: str) -> DataFrame:
-    """The 20 heaviest edges of each quarter, on which the SQL of components, shortest_paths and global_efficiency is stated; nothing else is cut so."""
-    w = Window.partitionBy("graph_id").orderBy(F.desc("weight"), "u", "v")
-    return pruned(spark, d).withColumn("_r", F.row_number().over(w)).where("_r <= 20").drop("_r")
 
-
-@query(_HEAVY + ", reach AS (SELECT DISTINCT graph_id, node, node AS to_ FROM b UNION SELECT r.graph_id, r.node, b.other FROM reach r JOIN b ON b.graph_id = r.graph_id AND b.node = r.to_) SELECT graph_id, node, min(to_) AS component FROM reach GROUP BY 1, 2")
+@query(_WALKED + ", reach AS (SELECT DISTINCT graph_id, node, node AS to_ FROM b UNION SELECT r.graph_id, r.node, b.other FROM reach r JOIN b ON b.graph_id = r.graph_id AND b.node = r.to_) SELECT graph_id, node, min(to_) AS component FROM reach GROUP BY 1, 2")
 def components(spark: SparkSession, d: str) -> DataFrame:
-    return mt.connected_components(heavy(spark, d))
+    return mt.connected_components(pruned(spark, d))
 
 
-_HOPS = _HEAVY + ", walk AS (SELECT DISTINCT graph_id, node AS source, node, 0 AS hops FROM b UNION SELECT w.graph_id, w.source, b.other, w.hops + 1 FROM walk w JOIN b ON b.graph_id = w.graph_id AND b.node = w.node WHERE w.hops < 12), near AS (SELECT graph_id, source, node, min(hops) AS hops FROM walk GROUP BY 1, 2, 3)"
+_HOPS = _WALKED + ", walk AS (SELECT DISTINCT graph_id, node AS source, node, 0 AS hops FROM b UNION SELECT w.graph_id, w.source, b.other, w.hops + 1 FROM walk w JOIN b ON b.graph_id = w.graph_id AND b.node = w.node WHERE w.hops < 12), near AS (SELECT graph_id, source, node, min(hops) AS hops FROM walk GROUP BY 1, 2, 3)"
 
 
 @query(_HOPS + " SELECT * FROM near")
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
-    return mt.hop_distances(heavy(spark, d))
+    return mt.hop_distances(pruned(spark, d))
 
 
 @query(_HOPS + " SELECT graph_id, round(sum(CASE WHEN hops > 0 THEN 1.0 / hops ELSE 0 END) / 600, 6) AS global_efficiency FROM near GROUP BY 1")
 def global_efficiency(spark: SparkSession, d: str) -> DataFrame:
-    e = heavy(spark, d)
+    e = pruned(spark, d)
     return rounded(mt.compute_global_efficiency(e, nodes_of(spark, d, e)))
 
 

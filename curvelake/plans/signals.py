@@ -15,11 +15,10 @@ from ..operators import surrogates as su
 from ..sources import trade as tr
 from .registry import query, rounded
 
-HOURS = 720
 _SIGNAL = """h AS (SELECT event_type, date_trunc('hour', ts) AS h, sum(value) AS x FROM events GROUP BY 1, 2),
     ch AS (SELECT event_type, dense_rank() OVER (ORDER BY event_type) - 1 AS channel FROM (SELECT DISTINCT event_type FROM events)),
-    x AS (SELECT channel, CAST(epoch(h) - epoch((SELECT min(h) FROM h)) AS BIGINT) // 3600 AS t, x FROM h JOIN ch USING (event_type)),
-    f AS (SELECT g.channel, g.t, coalesce(x.x, 0) AS x FROM (SELECT channel, t FROM ch, range(720) AS z(t)) g LEFT JOIN x ON x.channel = g.channel AND x.t = g.t),
+    x AS (SELECT channel, CAST(epoch(h) - epoch((SELECT min(h) FROM h)) AS BIGINT) // 3600 AS t, x FROM h JOIN ch USING (event_type)), n AS (SELECT max(t) + 1 AS n FROM x),
+    f AS (SELECT g.channel, g.t, coalesce(x.x, 0) AS x FROM (SELECT channel, t FROM ch, (SELECT unnest(range(n)) AS t FROM n)) g LEFT JOIN x ON x.channel = g.channel AND x.t = g.t),
     sg AS (SELECT a.channel, a.t, atan2(a.x - coalesce(b.x, a.x), a.x - m) AS phase, a.x AS x FROM f a LEFT JOIN f b ON b.channel = a.channel AND b.t = a.t - 1 JOIN (SELECT channel, avg(x) AS m FROM f GROUP BY 1) q ON q.channel = a.channel)"""
 _PAIRS = _SIGNAL + ", p AS (SELECT a.t, a.channel AS u, b.channel AS v, a.phase AS a, b.phase AS b FROM sg a JOIN sg b ON b.t = a.t AND a.channel <= b.channel)"
 _PLV = "sqrt(power(avg(cos(a - b)), 2) + power(avg(sin(a - b)), 2))"
@@ -30,22 +29,22 @@ def signal(spark: SparkSession, d: str) -> DataFrame:
     return rounded(tr.phases(spark, d))
 
 
-_WINDOWS = _PAIRS + f", w AS (SELECT k AS win, u, v, {_PLV} AS weight FROM p, range(11) AS z(k) WHERE t >= k * 60 AND t < k * 60 + 120 GROUP BY 1, 2, 3)"
+_WINDOWS = _PAIRS + f", w AS (SELECT k AS win, u, v, {_PLV} AS weight FROM p, (SELECT unnest(range((n - 120) // 60 + 1)) AS k FROM n) WHERE t >= k * 60 AND t < k * 60 + 120 GROUP BY 1, 2, 3)"
 
 
 @query("WITH " + _WINDOWS + ' SELECT \'events\' AS run, win AS "window", u, v, round(weight, 6) AS weight FROM w')
 def plv_windows(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(gr.sliding_window_plv(tr.phases(spark, d), 120, 60, HOURS))
+    return rounded(gr.sliding_window_plv(tr.phases(spark, d), 120, 60, tr.hours(spark, d)))
 
 
-@query("WITH " + _PAIRS + f" SELECT 'events' AS run, k AS \"window\", u, v, round({_PLV}, 6) AS weight FROM p, range(13) AS z(k) WHERE t >= k * 50 AND t < k * 50 + 120 GROUP BY 2, 3, 4")
+@query("WITH " + _PAIRS + f" SELECT 'events' AS run, k AS \"window\", u, v, round({_PLV}, 6) AS weight FROM p, (SELECT unnest(range((n - 120) // 50 + 1)) AS k FROM n) WHERE t >= k * 50 AND t < k * 50 + 120 GROUP BY 2, 3, 4")
 def plv_windows_uneven(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(gr.sliding_window_plv(tr.phases(spark, d), 120, 50, HOURS))
+    return rounded(gr.sliding_window_plv(tr.phases(spark, d), 120, 50, tr.hours(spark, d)))
 
 
 @query("WITH " + _WINDOWS + " SELECT 'events' AS run, win AS \"window\", round(avg(weight), 6) AS avg_plv FROM w GROUP BY 2")
 def avg_plv(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(gr.get_avg_plv(gr.sliding_window_plv(tr.phases(spark, d), 120, 60, HOURS)))
+    return rounded(gr.get_avg_plv(gr.sliding_window_plv(tr.phases(spark, d), 120, 60, tr.hours(spark, d))))
 
 
 @query("WITH " + _PAIRS + f" SELECT 'events' AS run, u, v, round({_PLV}, 6) AS plv FROM p WHERE u < v GROUP BY 2, 3")
@@ -305,14 +304,14 @@ def report(spark: SparkSession, d: str) -> DataFrame:
 _UNIFORM = "CAST(('0x' || substring(md5({keys}), 1, 13)) AS BIGINT) / 4503599627370496.0"
 
 
-@query("WITH " + _SIGNAL + ", sh AS (SELECT channel, 10 + CAST(floor(" + _UNIFORM.format(keys="'42|events|' || channel") + " * 700) AS BIGINT) AS s FROM ch) SELECT 'events' AS run, sg.channel, (t + s) % 720 AS t, round(phase, 6) AS phase FROM sg JOIN sh ON sh.channel = sg.channel")
+@query("WITH " + _SIGNAL + ", sh AS (SELECT channel, 10 + CAST(floor(" + _UNIFORM.format(keys="'42|events|' || channel") + " * (SELECT n - 20 FROM n)) AS BIGINT) AS s FROM ch) SELECT 'events' AS run, sg.channel, (t + s) % (SELECT n FROM n) AS t, round(phase, 6) AS phase FROM sg JOIN sh ON sh.channel = sg.channel")
 def circular_shift(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(su.circular_time_shift(tr.phases(spark, d), HOURS, 10))
+    return rounded(su.circular_time_shift(tr.phases(spark, d), tr.hours(spark, d), 10))
 
 
-@query("WITH " + _SIGNAL + ", k AS (SELECT unnest(range(3)) AS sid), sh AS (SELECT sid, channel, 10 + CAST(floor(" + _UNIFORM.format(keys="'42|' || sid || '|events|' || channel") + " * 700) AS BIGINT) AS s FROM ch, k) SELECT sid AS surrogate_id, 'events' AS run, sg.channel, (t + s) % 720 AS t, round(phase, 6) AS phase FROM sg JOIN sh ON sh.channel = sg.channel")
+@query("WITH " + _SIGNAL + ", k AS (SELECT unnest(range(3)) AS sid), sh AS (SELECT sid, channel, 10 + CAST(floor(" + _UNIFORM.format(keys="'42|' || sid || '|events|' || channel") + " * (SELECT n - 20 FROM n)) AS BIGINT) AS s FROM ch, k) SELECT sid AS surrogate_id, 'events' AS run, sg.channel, (t + s) % (SELECT n FROM n) AS t, round(phase, 6) AS phase FROM sg JOIN sh ON sh.channel = sg.channel")
 def surrogate_stack(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(su.generate_surrogate_stack(tr.phases(spark, d), "circular_time_shift", 3, length=HOURS, min_shift=10))
+    return rounded(su.generate_surrogate_stack(tr.phases(spark, d), "circular_time_shift", 3, length=tr.hours(spark, d), min_shift=10))
 
 
 def _dyads(spark: SparkSession, d: str) -> DataFrame:

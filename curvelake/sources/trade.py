@@ -66,10 +66,17 @@ def hourly(spark: SparkSession, folder: str) -> DataFrame:
     return at.groupBy("channel", t.alias("t")).agg(F.sum("value").alias("x")).select(F.lit("events").alias("run"), "channel", "t", "x")
 
 
-def phases(spark: SparkSession, folder: str, hours: int = 720) -> DataFrame:
-    """signal of `hours` samples by channel: phase = atan2(x_t - x_{t-1}, x_t - mean), a missing hour 0."""
-    x = hourly(spark, folder).where(F.col("t") < hours)
-    grid = x.select("run", "channel").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(hours - 1))).alias("t")).withColumn("t", F.col("t").cast("long"))
+def hours(spark: SparkSession, folder: str) -> int:
+    """Hours from the first event to the last, both included."""
+    h = table(spark, folder, "events").select(F.unix_timestamp(F.date_trunc("hour", F.col("ts").cast("timestamp"))).alias("h"))
+    low, high = h.agg(F.min("h"), F.max("h")).first()
+    return 1 if low is None else (high - low) // 3600 + 1
+
+
+def phases(spark: SparkSession, folder: str) -> DataFrame:
+    """signal of a sample an hour by channel, up to the last event of all: phase = atan2(x_t - x_{t-1}, x_t - mean), a missing hour 0."""
+    x, n = hourly(spark, folder), hours(spark, folder)
+    grid = x.select("run", "channel").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("t")).withColumn("t", F.col("t").cast("long"))
     full = grid.join(x, ["run", "channel", "t"], "left").select("run", "channel", "t", F.coalesce("x", F.lit(0.0)).alias("x"))
     before = full.select("run", "channel", (F.col("t") + 1).alias("t"), F.col("x").alias("b"))
     mean = full.groupBy("run", "channel").agg(F.avg("x").alias("m"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared, textvec
-from .tokens import encoder, tokenizer_path
+from .tokens import TEXT_BYTES, encoder, tokenizer_path
 
 LENGTH = 2048
 SENTENCE_COST, BREAK_COST, STRIDE = 8, 24, 16
@@ -105,7 +105,7 @@ def _pack(path: str, end_id: int, length: int, added: bool):
         for batch in batches:
             doc_ids += batch.column("doc_id").to_pylist()
             texts = batch.column("text").to_pylist()
-            for lo, hi, _ in textvec.slices(batch):
+            for lo, hi, _ in textvec.slices(batch, limit=TEXT_BYTES):
                 coded = [x + end for x in e.encode(texts[lo:hi])]
                 counts += [len(x) // e.dtype.itemsize for x in coded]
                 chunks.append(b"".join(coded))

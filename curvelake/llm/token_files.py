@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from . import shared, textvec
 from .shared import filesystem
-from .tokens import encoder, tokenizer_path
+from .tokens import TEXT_BYTES, encoder, tokenizer_path
 
 MAGIC = b"RANKVB01"
 SHARD_IDS = 4_000_000
@@ -116,7 +116,7 @@ def _tokenise(path: str, end_id: int, added: bool):
         counts, end = np.zeros(max(e.vocabulary, end_id + 1), "<i8"), np.array([end_id], e.dtype).tobytes()
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for lo, hi, _ in textvec.slices(batch):
+            for lo, hi, _ in textvec.slices(batch, limit=TEXT_BYTES):
                 coded = [x + end for x in e.encode(texts[lo:hi])]
                 seen = np.bincount(np.frombuffer(b"".join(coded), e.dtype))
                 counts[: len(seen)] += seen

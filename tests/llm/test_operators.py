@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import time
 import zlib
@@ -206,6 +207,18 @@ def whole_ids(end):
 END = "<|endoftext|>"
 
 
+def test_ids_of_mixed_texts_are_the_library_s():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    parts = ["a", "word", "The", " ", " ", " ", "\n", "  ", "'", "'s", "'ll", "s", "re", ",", ".", "12", "é", "ß", "I'm", "-", "\t", "\r", END, "中", "×"]
+    texts = ["", *("".join(rng.choice(parts[: rng.choice((8, 20, 25))]) for _ in range(rng.randint(0, 14))) for _ in range(4000))]
+    e = encoder(tokenizer_path())
+    got = [x for k in range(0, len(texts), 100) for x in e.encode(texts[k : k + 100])]
+    want = [x.ids for x in Tokenizer.from_file(tokenizer_path()).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, e.dtype).tolist() for x in got] == want
+
+
 def test_added_tokens_are_the_library_s():
     texts = [END, f"{END} hi", f"hi {END}", f"a{END}b", f"x  {END}{END}  y", f"{END[:-1]} hi {END}", "<|endoftext |>", "plain words here", f"日本{END} x", "it's 12 x²½", "", " "]
     want = library_ids(texts)

@@ -289,6 +289,70 @@ def test_permutation_queries_can_reject(spark, orders):
     assert r.p_mean == pytest.approx(1 / 2001, abs=1e-6) and r.p_energy == pytest.approx(1 / 2001, abs=1e-6) and r.rejected and r.p_null > 0
 
 
+def joins(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return sum(" Join " in f" {line.lstrip(' :+-')} " for line in plan.splitlines())
+
+
+def plain_energy(values, labels):
+    """Mean over pairs of groups, by all pairs of values."""
+    groups = [np.array([x for x, c in zip(values, labels) if c == g]) for g in sorted(set(labels))]
+    far = lambda a, b: np.abs(a[:, None] - b[None, :]).mean()
+    found = [np.sqrt(max(0.0, 2 * far(a, b) - far(a, a) - far(b, b))) for i, a in enumerate(groups) for b in groups[i + 1 :]]
+    return np.mean(found) if found else None
+
+
+def dealt_labels(units, perm):
+    """The labels of ascending units (unit, label) in one permutation."""
+    from hashlib import md5
+
+    drawn = sorted(units, key=lambda u: (md5(f"42|{perm}|{u[0]}".encode()).hexdigest(), u[0])) if perm else units
+    return [c for _, c in drawn]
+
+
+def test_energy_test_against_plain_shuffles(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f, "abc"[k % 3], f"{f}.{k:03d}", float(rng.integers(0, 9) + (k % 3) / 2)) for f in (0, 1) for k in range(40)] + [(2, "a", "2.000", 1.0)]
+    df = spark.createDataFrame(rows, "freq int, g string, id string, value double")
+    test = st.energy_test(df, "g", ["freq"], F.col("id"), 120)
+    assert joins(test) <= 1  # that of the p values: rows aren't joined for each permutation
+    got = {r.freq: (r.observed, r.n_perms, r.p) for r in test.collect()}
+    assert set(got) == {0, 1}  # one group alone has no distance
+    for f in got:
+        mine = sorted((i, g, x) for q, g, i, x in rows if q == f)
+        stat = [round(plain_energy([x for _, _, x in mine], dealt_labels([(i, g) for i, g, _ in mine], p)), 8) for p in range(121)]
+        assert got[f][0] == pytest.approx(stat[0], abs=1e-7) and got[f][1:] == (120, pytest.approx((1 + sum(s >= stat[0] for s in stat[1:])) / 121))
+
+
+def test_energy_test_counts_missing_values(spark):
+    """A missing value counts for its group, below all others."""
+    df = spark.createDataFrame([(0, "a", "1", None), (0, "a", "2", 1.0), (0, "b", "3", 1.0), (0, "b", "4", 3.0)], "freq int, g string, id string, value double")
+    assert st.energy_test(df, "g", ["freq"], F.col("id"), 3).first().observed == pytest.approx(1.0)
+    assert st.energy_distance(df, "g", ["freq"]).first().energy == pytest.approx(1.0)
+
+
+def test_hierarchical_tests_against_plain_shuffles(spark):
+    rng = np.random.default_rng(6)
+    rows = [(d, c, f, t, w, float(rng.integers(0, 20))) for d in (3, 11) for c in "xyz" for t in range(5) for f in (0, 1) for w in range(2) if (d, c, t) != (3, "z", 4)]
+    df = spark.createDataFrame(rows, "dyad int, condition string, freq int, trial int, window int, value double")
+    mean, energy = st.hierarchical_permutation_test(df, ["freq"], 70), st.energy_distance_hierarchical(df, ["freq"], 70)
+    assert joins(mean) <= 1 and joins(energy) <= 1
+    stats = {}
+    for p in range(71):
+        label = {}
+        for d in (3, 11):
+            units = sorted({(f"{d}__{c}__{t}", c) for q, c, _, t, _, _ in rows if q == d})
+            label |= dict(zip([u for u, _ in units], dealt_labels(units, p)))
+        for f in (0, 1):
+            mine = [(d, label[f"{d}__{c}__{t}"], x) for d, c, q, t, _, x in rows if q == f]
+            m = [np.mean([x for _, c, x in mine if c == g]) for g in "xyz"]
+            stats[f, p] = round(3 * sum(x * x for x in m) - sum(m) ** 2, 8), round(np.mean([plain_energy([x for q, _, x in mine if q == d], [c for q, c, _ in mine if q == d]) for d in (3, 11)]), 8)
+    for k, test in enumerate((mean, energy)):
+        for r in test.collect():
+            assert r.n_perms == 70 and r.observed == pytest.approx(stats[r.freq, 0][k], abs=1e-7)
+            assert r.p == pytest.approx((1 + sum(stats[r.freq, p][k] >= stats[r.freq, 0][k] for p in range(1, 71))) / 71)
+
+
 def test_every_query_has_stable_columns(spark):
     import __spark_entry__ as entry
 

@@ -353,6 +353,17 @@ def test_hierarchical_tests_against_plain_shuffles(spark):
             assert r.p == pytest.approx((1 + sum(stats[r.freq, p][k] >= stats[r.freq, 0][k] for p in range(1, 71))) / 71)
 
 
+def test_pairwise_energy_is_a_test_of_two_groups(spark):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(0, "abc"[k % 3], f"{k:03d}", float(rng.normal(k % 3, 1))) for k in range(60)], "freq int, g string, id string, value double")
+    pairs = st.pairwise_energy_tests(df, "g", ["freq"], F.col("id"), n_perms=60)
+    assert joins(pairs) == 2  # those of the pairs of groups
+    got = {r.pair: (r.observed, r.p) for r in pairs.collect()}
+    assert set(got) == {"a-b", "a-c", "b-c"}
+    one = st.energy_test(df.where("g <> 'b'"), "g", ["freq"], F.col("id"), 60).first()
+    assert got["a-c"] == (one.observed, one.p)
+
+
 def test_every_query_has_stable_columns(spark):
     import __spark_entry__ as entry
 

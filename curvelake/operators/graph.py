@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..session import cut
+from .neighbours import all_distances, nearest, nearest_in_buckets, ranked  # noqa: F401
 
 EDGE = ["graph_id", "u", "v"]
 
@@ -173,43 +175,12 @@ def edge_stats(edges: DataFrame, key: str) -> DataFrame:
     return edges.groupBy("graph_id").agg(F.min(x).alias("least"), F.max(x).alias("most"), F.avg(x).alias("mean"))
 
 
-def all_pairs(vectors: DataFrame, rows: int, block: int = 1000) -> DataFrame:
-    """i < j with vectors a and b. Rows go to blocks and pairs of blocks are the join key: a hash join, never a nested loop.
+def adj_matrix(vectors: DataFrame, rows: int, method: int = 1) -> DataFrame:
+    """i, j, d for i < j of (id, vector array<double>): Euclid, 1 - cosine or 1 - |Spearman|, rounded to 3 places.
 
-    A distance matrix has all pairs as its result; a kNN graph at scale uses the approximate form instead.
+    A distance matrix has all pairs as its result; the graphs of nearest neighbours take `nearest`, which keeps none of them.
     """
-    blocks = max(1, -(-rows // block))
-    at = vectors.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    left = at.select(F.col("id").alias("i"), F.col("vector").alias("a"), F.col("block").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q"))
-    right = at.select(F.col("id").alias("j"), F.col("vector").alias("b"), F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("p"))
-    return left.join(right, ["p", "q"]).where("i < j").select("i", "j", "a", "b")
-
-
-def dot(a: Column | str, b: Column | str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def _distance(method: int) -> Column:
-    if method == 1:
-        return F.sqrt(F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    if method == 2:
-        return 1 - dot("a", "b") / (F.sqrt(dot("a", "a")) * F.sqrt(dot("b", "b")))
-    raise ValueError("method is 1 (Euclid), 2 (cosine) or 3 (Spearman)")
-
-
-def centred_ranks(vectors: DataFrame) -> DataFrame:
-    """Vectors of average ranks less their mean, which is (n + 1) / 2 whatever the values."""
-    x = F.col("vector")
-    below = lambda v: F.aggregate(x, F.lit(0.0), lambda s, y: s + F.when(y < v, 1.0).when(y == v, 0.5).otherwise(0.0))
-    return vectors.select("id", F.transform(x, lambda v: below(v) - F.size(x) / 2).alias("vector"))
-
-
-def adj_matrix(vectors: DataFrame, rows: int, method: int = 1) -> DataFrame:
-    """i, j, d for i < j of (id, vector array<double>): Euclid, 1 - cosine or 1 - |Spearman|, rounded to 3 places."""
-    if method == 3:
-        r = dot("a", "b") / (F.sqrt(dot("a", "a")) * F.sqrt(dot("b", "b")))
-        return all_pairs(centred_ranks(vectors), rows).select("i", "j", F.round(1 - F.abs(r) + 1e-9, 3).alias("d"))  # rank sums make exact ties at the fourth place
-    return all_pairs(vectors, rows).select("i", "j", F.round(_distance(method), 3).alias("d"))
+    return all_distances(vectors, rows, method)
 
 
 def mirrored(distances: DataFrame) -> DataFrame:
@@ -217,38 +188,38 @@ def mirrored(distances: DataFrame) -> DataFrame:
     return distances.select(F.inline(F.array(F.struct("i", "j", "d"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "d"))))
 
 
-def ranked(distances: DataFrame) -> DataFrame:
-    """rank of j among i's others, nearest first; ties by j."""
-    return mirrored(distances).withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j")))
+def _near(distances: DataFrame) -> DataFrame:
+    """i, j, d, rank: of `nearest` as they are, of distances i < j both ways."""
+    return distances if "rank" in distances.columns else ranked(mirrored(distances))
 
 
 def nearest_neighbor_graph(distances: DataFrame, k: int = 5, weight: bool = False) -> DataFrame:
-    """Undirected edges u < v where either is among the other's k nearest; weight 1, or the distance."""
-    near = ranked(distances).where(F.col("rank") <= k)
+    """Undirected edges u < v where either is among the other's k nearest; weight 1, or the distance. Takes distances i < j, or at least k of `nearest`."""
+    near = _near(distances).where(F.col("rank") <= k)
     return near.groupBy(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v")).agg((F.min("d") if weight else F.lit(1.0)).alias("weight"))
 
 
 def nearest_neighbor_graph_lsh(vectors: DataFrame, k: int = 5, bucket: float = 2.0, tables: int = 8, reach: float = 1e9, seed: int = 7) -> DataFrame:
-    """Approximate form for large tables: candidates share a random-projection bucket."""
+    """Approximate form for large tables: candidates share a random-projection bucket; inside buckets the search is exact."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = vectors.select("id", array_to_vector("vector").alias("features"))
+    rows = vectors.where("vector IS NOT NULL").select("id", "vector", array_to_vector("vector").alias("features"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(rows)
-    pairs = model.approxSimilarityJoin(rows, rows, reach, "d").where("datasetA.id < datasetB.id")
-    return nearest_neighbor_graph(pairs.select(F.col("datasetA.id").alias("i"), F.col("datasetB.id").alias("j"), "d"), k, weight=True)
+    hashed = model.transform(rows).select("id", "vector", F.transform("hashes", lambda h: vector_to_array(h)[0]).alias("buckets"))
+    return nearest_neighbor_graph(nearest_in_buckets(hashed, k).where(F.col("d") < reach), k, weight=True)
 
 
 def sim_graph(distances: DataFrame, nodes: DataFrame, k: int = 5, weight: bool = True) -> DataFrame:
-    """Edges from each row of a full distance matrix to its k smallest cells; the diagonal counts, so loops of weight 0 stay."""
-    cells = mirrored(distances).unionByName(nodes.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("d")))
-    near = cells.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") <= k)
+    """Edges from each row of a full distance matrix, or of `nearest`, to its k smallest cells; the diagonal counts, so loops of weight 0 stay."""
+    cells = _near(distances).select("i", "j", "d").unionByName(nodes.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("d")))
+    near = ranked(cells).where(F.col("rank") <= k)
     return near.groupBy(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v")).agg((F.min("d") if weight else F.lit(1.0)).alias("weight"))
 
 
 def adaptive_neighborhood(distances: DataFrame, k_min: int = 5, k_max: int = 50) -> DataFrame:
     """i, density, adaptive_k: density 1 / distance to the k_max-th neighbour, scaled to 0..1; k by half-even rounding."""
-    far = ranked(distances).where(F.col("rank") <= k_max).groupBy("i").agg(F.max("d").alias("far"))
+    far = _near(distances).where(F.col("rank") <= k_max).groupBy("i").agg(F.max("d").alias("far"))
     rho = far.select("i", (1 / F.nullif("far", F.lit(0.0))).alias("rho"))
     ends = rho.agg(F.min("rho").alias("low"), F.max("rho").alias("high"))
     scaled = rho.crossJoin(F.broadcast(ends)).select("i", F.coalesce((F.col("rho") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)), F.lit(0.0)).alias("density"))
@@ -256,8 +227,9 @@ def adaptive_neighborhood(distances: DataFrame, k_min: int = 5, k_max: int = 50)
 
 
 def adaptive_neighborhood_graph(distances: DataFrame, k_min: int = 5, k_max: int = 50) -> DataFrame:
-    """Undirected edges to each row's adaptive_k nearest."""
-    near = ranked(distances).join(adaptive_neighborhood(distances, k_min, k_max), "i").where(F.col("rank") <= F.col("adaptive_k"))
+    """Undirected edges to each row's adaptive_k nearest. The k_max nearest are written once, as they are read three times."""
+    found = cut(_near(distances).where(F.col("rank") <= k_max))
+    near = found.join(adaptive_neighborhood(found, k_min, k_max), "i").where(F.col("rank") <= F.col("adaptive_k"))
     return near.groupBy(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v")).agg(F.min("d").alias("weight"))
 
 

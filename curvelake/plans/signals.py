@@ -96,6 +96,11 @@ def _euclid(spark: SparkSession, d: str) -> DataFrame:
     return gr.adj_matrix(v, v.count(), 1)
 
 
+def _nearest(spark: SparkSession, d: str, k: int) -> DataFrame:
+    v = tr.vectors(spark, d)
+    return gr.nearest(v, v.count(), k)
+
+
 @query(_EUCLID + " SELECT * FROM dist")
 def dist_euclid(spark: SparkSession, d: str) -> DataFrame:
     return _euclid(spark, d)
@@ -116,20 +121,20 @@ def dist_spearman(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_RANKED + " SELECT least(i, j) AS u, greatest(i, j) AS v, min(d) AS weight FROM rk WHERE rank <= 5 GROUP BY 1, 2")
 def knn_graph(spark: SparkSession, d: str) -> DataFrame:
-    return gr.nearest_neighbor_graph(_euclid(spark, d), 5, True)
+    return gr.nearest_neighbor_graph(_nearest(spark, d, 5), 5, True)
 
 
 @query(_EUCLID + """, mir AS (SELECT i, j, d FROM dist UNION ALL SELECT j, i, d FROM dist UNION ALL SELECT id, id, 0.0 FROM v), rk AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM mir)
     SELECT least(i, j) AS u, greatest(i, j) AS v, min(d) AS weight FROM rk WHERE rank <= 5 GROUP BY 1, 2""")
 def sim_graph(spark: SparkSession, d: str) -> DataFrame:
-    return gr.sim_graph(_euclid(spark, d), tr.vectors(spark, d), 5)
+    return gr.sim_graph(_nearest(spark, d, 5), tr.vectors(spark, d), 5)
 
 
 @query(_RANKED + """, rho AS (SELECT i, 1 / max(d) AS rho FROM rk WHERE rank <= 20 GROUP BY 1), ends AS (SELECT min(rho) AS low, max(rho) AS high FROM rho),
     k AS (SELECT i, CAST(round_even(5 + 15 * ((rho - low) / (high - low)), 0) AS INTEGER) AS k FROM rho, ends)
     SELECT least(rk.i, j) AS u, greatest(rk.i, j) AS v, min(d) AS weight FROM rk JOIN k ON k.i = rk.i WHERE rank <= k GROUP BY 1, 2""")
 def adaptive_graph(spark: SparkSession, d: str) -> DataFrame:
-    return gr.adaptive_neighborhood_graph(_euclid(spark, d), 5, 20)
+    return gr.adaptive_neighborhood_graph(_nearest(spark, d, 20), 5, 20)
 
 
 @query()

@@ -364,6 +364,66 @@ def test_pairwise_energy_is_a_test_of_two_groups(spark):
     assert got["a-c"] == (one.observed, one.p)
 
 
+@pytest.fixture(scope="session")
+def odd_vectors(spark):
+    """id, vector: copies, ties at the third place, a null vector, a repeated id and a null id; and them as a list."""
+    rng = np.random.default_rng(11)
+    rows = [(3 * k, [float(x) for x in rng.integers(0, 3, 4)]) for k in range(70)] + [(7, None), (9, [0.0, 0.0, 0.0, 0.0]), (9, [1.0, 2.0, 0.0005, 0.0]), (None, [1.0, 1.0, 1.0, 1.0])]
+    return spark.createDataFrame(rows, "id long, vector array<double>"), rows
+
+
+def plain_distances(rows, distance):
+    """(i, j, d) of all pairs i < j of ids, in order of the pairs."""
+    found = [(a, b, None if x is None or y is None else float(distance(np.array(x), np.array(y)))) for a, x in rows for b, y in rows if a is not None and b is not None and a < b]
+    return sorted(found, key=lambda r: (r[0], r[1], r[2] is None, r[2]))
+
+
+def same_cells(got, want):
+    got = sorted(got, key=lambda r: (r[0], r[1], r[2] is None, r[2]))
+    return len(got) == len(want) and all(g[:2] == w[:2] and (g[2] == w[2] or (g[2] is not None and w[2] is not None and (abs(g[2] - w[2]) < 1e-9 or g[2] != g[2] and w[2] != w[2]))) for g, w in zip(got, want))
+
+
+def half_up(x):
+    return np.floor(x * 1000 + 0.5) / 1000
+
+
+def plain_nearest(rows, k):
+    """(i, j, d): the k nearest of other ids for each id by (distance to 3 places, id), missing distances last."""
+    cells = plain_distances(rows, lambda x, y: half_up(np.sqrt(((x - y) ** 2).sum())))
+    both = sorted([*cells, *((j, i, d) for i, j, d in cells)], key=lambda r: (r[0], r[2] is None, r[2], r[1]))
+    seen, out = {}, []
+    for r in both:
+        seen[r[0]] = seen.get(r[0], 0) + 1
+        if seen[r[0]] <= k:
+            out.append(r)
+    return out
+
+
+def plain_edges(near):
+    out = {}
+    for i, j, d in near:
+        e = (min(i, j), max(i, j))
+        out[e] = d if out.get(e) is None else out[e] if d is None else min(out[e], d)
+    return out
+
+
+def small_blocks(monkeypatch):
+    from curvelake.operators import neighbours as nb
+
+    for name, size in (("BLOCK", 20), ("LEFT", 16), ("RIGHT", 31)):
+        monkeypatch.setattr(nb, name, size)
+
+
+def test_adaptive_graph_of_nearest(spark, odd_vectors, monkeypatch):
+    df, rows = odd_vectors
+    small_blocks(monkeypatch)
+    near = gr.nearest(df, len(rows), 12)
+    assert joins(near) == 0  # no join of all pairs
+    edges = lambda d: sorted((r.u, r.v, r.weight) for r in d.where("weight IS NOT NULL").collect())
+    got = edges(gr.adaptive_neighborhood_graph(near, 2, 12))
+    assert got and got == edges(gr.adaptive_neighborhood_graph(gr.adj_matrix(df, len(rows)), 2, 12))
+
+
 def test_every_query_has_stable_columns(spark):
     import __spark_entry__ as entry
 

@@ -424,6 +424,16 @@ def test_adaptive_graph_of_nearest(spark, odd_vectors, monkeypatch):
     assert got and got == edges(gr.adaptive_neighborhood_graph(gr.adj_matrix(df, len(rows)), 2, 12))
 
 
+def test_euclid_of_odd_rows(spark, odd_vectors, monkeypatch):
+    df, rows = odd_vectors
+    small_blocks(monkeypatch)
+    got = gr.adj_matrix(df, len(rows), 1)
+    assert joins(got) == 0
+    assert same_cells([tuple(r) for r in got.collect()], plain_distances(rows, lambda x, y: half_up(np.sqrt(((x - y) ** 2).sum()))))
+    with pytest.raises(Exception, match="differ in length"):
+        gr.adj_matrix(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, vector array<double>"), 2).collect()
+
+
 def test_every_query_has_stable_columns(spark):
     import __spark_entry__ as entry
 

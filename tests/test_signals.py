@@ -434,6 +434,23 @@ def test_euclid_of_odd_rows(spark, odd_vectors, monkeypatch):
         gr.adj_matrix(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, vector array<double>"), 2).collect()
 
 
+def test_knn_graph_of_nearest(spark, odd_vectors, monkeypatch):
+    df, rows = odd_vectors
+    small_blocks(monkeypatch)
+    near = gr.nearest(df, len(rows), 3)
+    assert joins(near) == 0 and same_cells([(r.i, r.j, r.d) for r in near.collect()], sorted(plain_nearest(rows, 3), key=lambda r: (r[0], r[1], r[2] is None, r[2])))
+    got = {(r.u, r.v): r.weight for r in gr.nearest_neighbor_graph(near, 3, True).collect()}
+    assert got == pytest.approx(plain_edges(plain_nearest(rows, 3)))
+
+
+def test_nearest_allows_for_rounding(spark):
+    """Far from the origin a matrix product loses all digits of a distance; exact distances still decide."""
+    rng = np.random.default_rng(2)
+    rows = [(k, [float(1e8 + x) for x in rng.integers(0, 6, 3)]) for k in range(400)]
+    near = gr.nearest(spark.createDataFrame(rows, "id long, vector array<double>"), 400, 4)
+    assert same_cells([(r.i, r.j, r.d) for r in near.collect()], sorted(plain_nearest(rows, 4)))
+
+
 def test_every_query_has_stable_columns(spark):
     import __spark_entry__ as entry
 

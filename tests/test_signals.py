@@ -451,6 +451,19 @@ def test_nearest_allows_for_rounding(spark):
     assert same_cells([(r.i, r.j, r.d) for r in near.collect()], sorted(plain_nearest(rows, 4)))
 
 
+def test_cosine_of_odd_rows(spark, odd_vectors, monkeypatch):
+    """A vector of zeros has no direction: NaN, as SQL has it, not an error."""
+    df, rows = odd_vectors
+    small_blocks(monkeypatch)
+    got = gr.adj_matrix(df, len(rows), 2)
+    with np.errstate(invalid="ignore"):
+        want = plain_distances(rows, lambda x, y: half_up(1 - (x * y).sum() / (np.sqrt((x * x).sum()) * np.sqrt((y * y).sum()))))
+    key = lambda r: (r[0], r[1], r[2] is None, r[2] if r[2] == r[2] else 9.0)
+    got, want = sorted((tuple(r) for r in got.collect()), key=key), sorted(want, key=key)
+    assert any(d is not None and d != d for _, _, d in want) and [r[:2] for r in got] == [r[:2] for r in want]
+    assert [9.0 if a is None else a for _, _, a in got] == pytest.approx([9.0 if a is None else a for _, _, a in want], abs=1.1e-3, nan_ok=True)
+
+
 def test_every_query_has_stable_columns(spark):
     import __spark_entry__ as entry
 

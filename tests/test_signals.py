@@ -464,6 +464,23 @@ def test_cosine_of_odd_rows(spark, odd_vectors, monkeypatch):
     assert [9.0 if a is None else a for _, _, a in got] == pytest.approx([9.0 if a is None else a for _, _, a in want], abs=1.1e-3, nan_ok=True)
 
 
+def test_spearman_of_odd_rows(spark, odd_vectors, monkeypatch):
+    """Constant vectors have no correlation: NaN, not an error; a missing vector has no ranks and no pairs."""
+    df, rows = odd_vectors
+    small_blocks(monkeypatch)
+    got = gr.adj_matrix(df, len(rows), 3)
+    assert joins(got) == 0
+    from pandas import Series
+
+    def apart(x, y):
+        a, b = Series(x).rank(), Series(y).rank()
+        return half_up(1 - abs(a.corr(b)) + 1e-9) if a.std() and b.std() else np.nan
+
+    key = lambda r: (r[0], r[1], r[2] if r[2] == r[2] else 9.0)
+    got, want = sorted((tuple(r) for r in got.collect()), key=key), sorted(plain_distances([r for r in rows if r[1]], apart), key=key)
+    assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=1e-9, nan_ok=True)
+
+
 def test_every_query_has_stable_columns(spark):
     import __spark_entry__ as entry
 

@@ -481,6 +481,24 @@ def test_spearman_of_odd_rows(spark, odd_vectors, monkeypatch):
     assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=1e-9, nan_ok=True)
 
 
+def test_lsh_searches_whole_buckets(spark, monkeypatch):
+    """In one bucket the search is exact however large it is; rows of no common bucket never meet."""
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in rng.normal(0, 1, 4)]) for k in range(90)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    small_blocks(monkeypatch)
+    edges = lambda g: {(r.u, r.v): r.weight for r in g.collect()}
+    x = np.array([v for _, v in rows])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = {(min(i, j), max(i, j)): d[i, j] for i in range(90) for j in np.argsort(d[i])[1:4].tolist()}
+    whole = gr.nearest_in_buckets(df.withColumn("buckets", F.array(F.lit(0.0), F.lit(1.0))), 3)
+    assert edges(gr.nearest_neighbor_graph(whole, 3, True)) == pytest.approx(want)
+    apart = gr.nearest_in_buckets(df.withColumn("buckets", F.array((F.col("id") % 2).cast("double"))), 3).collect()
+    assert len(apart) == 270 and all((r.i - r.j) % 2 == 0 for r in apart)
+    graph = gr.nearest_neighbor_graph_lsh(df, 3, 4.0, 6)
+    assert len(set(edges(graph)) & set(want)) >= 0.9 * len(want)
+
+
 def test_every_query_has_stable_columns(spark):
     import __spark_entry__ as entry
 

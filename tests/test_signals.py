@@ -499,6 +499,16 @@ def test_lsh_searches_whole_buckets(spark, monkeypatch):
     assert len(set(edges(graph)) & set(want)) >= 0.9 * len(want)
 
 
+def test_sim_graph_of_nearest(spark, odd_vectors, monkeypatch):
+    df, rows = odd_vectors
+    small_blocks(monkeypatch)
+    near = gr.nearest(df, len(rows), 4)
+    edges = lambda d: sorted((r.u, r.v, -1.0 if r.weight is None else r.weight) for r in d.collect())
+    nodes = df.where("id IS NOT NULL")
+    got = edges(gr.sim_graph(near, nodes, 4))
+    assert joins(near) == 0 and (0, 0, 0.0) in got and got == edges(gr.sim_graph(gr.adj_matrix(df, len(rows)), nodes, 4))
+
+
 def test_every_query_has_stable_columns(spark):
     import __spark_entry__ as entry
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shared
+from . import shared, tokens
 
 #: Edges that a task joins at once before it sends them on.
 LOCAL_EDGES = 500_000
@@ -60,7 +60,7 @@ def components(edges: DataFrame, ws: shared.Workspace, name: str = "components")
     logarithm of the longest chain. Each round's table is written to the shared folder, which cuts the lineage; partial minima
     leave one row for a hot node and task.
     """
-    stars = edges.select("a", "b").where("a <> b").mapInArrow(_stars, "a long, b long")
+    stars = edges.select("a", "b").where("a <> b").mapInArrow(tokens.tidy(_stars), "a long, b long")
     both = ws.write(stars.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct(), f"{name}-edges")
     labels = ws.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), f"{name}-0")
     k = 0

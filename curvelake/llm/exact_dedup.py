@@ -178,7 +178,7 @@ def combined(leads: DataFrame, ws: shared.Workspace, share: int) -> tuple[DataFr
         if heavy.isEmpty():
             return leads, k + 1
         salted = leads.join(heavy, "key").withColumn("salt", F.pmod(F.xxhash64("run", F.lit(k)), "parts"))
-        merged = salted.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_merge, _LEADS)
+        merged = salted.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(tokens.tidy(_merge), _LEADS)
         rest = leads.join(heavy.hint("shuffle_hash"), "key", "left_anti").select(*_LEADS_ARROW.names)
         k, leads = k + 1, ws.write(rest.union(merged), f"leads-{k}")
 
@@ -271,7 +271,7 @@ def _lookup(folder: str):
 def _grouped(ws: shared.Workspace, texts: DataFrame, owner_bytes: int, bucket_keys: int, held_bytes: int) -> DataFrame:
     """id, row, keep_id, group_size, kept and sha of every row (row, doc, text)."""
     spark = texts.sparkSession
-    runs = ws.write(texts.select("row", "doc", "text").mapInArrow(_runs(held_bytes), _RUNS), "runs")
+    runs = ws.write(texts.select("row", "doc", "text").mapInArrow(tokens.tidy(_runs(held_bytes)), _RUNS), "runs")
     leads, k = combined(runs.select(*_LEADS_ARROW.names), ws, owner_bytes)
     total = leads.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     owners = shared.parts(spark, total, owner_bytes)
@@ -279,12 +279,12 @@ def _grouped(ws: shared.Workspace, texts: DataFrame, owner_bytes: int, bucket_ke
     owners = 1 << bits
     owner = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")
     keyed = leads.withColumn("owner", owner).repartitionById(owners, F.col("owner").cast("int"))
-    files = ws.write(keyed.mapInArrow(_owner(bucket_keys, f"{ws.path}/index"), "owner long, file string"), "files")
+    files = ws.write(keyed.mapInArrow(tokens.tidy(_owner(bucket_keys, f"{ws.path}/index")), "owner long, file string"), "files")
     ws.drop(*(f"{t}-{i}" for t in ("heavy", "leads") for i in range(k)))
     few = runs.select(owner.alias("owner"), "key", "sha", "run", "ids", "rows")
     parts = files.join(few.groupBy("owner").agg(F.ceil(F.count("*") / LOOKUP_RUNS).alias("parts")), "owner")
     dealt = few.join(parts, "owner").withColumn("salt", F.pmod(F.xxhash64("run"), "parts"))
-    found = dealt.repartition("owner", "salt").sortWithinPartitions("file").select("file", "key", "sha", "run", "ids", "rows").mapInArrow(_lookup(f"{ws.path}/index"), _FOUND)
+    found = dealt.repartition("owner", "salt").sortWithinPartitions("file").select("file", "key", "sha", "run", "ids", "rows").mapInArrow(tokens.tidy(_lookup(f"{ws.path}/index")), _FOUND)
     rows = found.select("*", F.posexplode(F.arrays_zip("ids", "rows")).alias("at", "of"))
     kept = F.col("first") & (F.col("at") + 1 == F.array_position("ids", F.col("keep_id")))
     return rows.select(F.col("of.ids").alias("id"), F.col("of.rows").alias("row"), "keep_id", "group_size", kept.alias("kept"), "sha")

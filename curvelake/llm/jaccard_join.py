@@ -123,7 +123,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def order_table(parts: DataFrame) -> np.ndarray:
     """How often each bucket of shingles occurs: a table of fixed size, which the driver gets in slices."""
     table = np.zeros((1 << ORDER_BITS) // SLICE * SLICE, np.int64).reshape(-1, SLICE)
-    for r in parts.repartition("slice").mapInArrow(_add, "slice int, counts binary").collect():
+    for r in parts.repartition("slice").mapInArrow(tokens.tidy(_add), "slice int, counts binary").collect():
         table[r["slice"]] = np.frombuffer(r["counts"], np.int64)
     return np.minimum(table.reshape(-1), 2**32 - 1).astype(np.uint32)
 
@@ -389,7 +389,7 @@ def linked(ws: shared.Workspace, name: str, members: DataFrame, payload: DataFra
     payload = payload.hint("shuffle_hash") if "point" in payload.columns else payload
     value = payload.columns[1]
     small = members.where(F.col("load") <= limit).join(payload, "node").select("grp", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", F.lit(0).alias("side"), value)
-    found = ws.write(small.repartition("grp").sortWithinPartitions("grp").mapInArrow(_solve(kind), "a long, b long"), name)
+    found = ws.write(small.repartition("grp").sortWithinPartitions("grp").mapInArrow(tokens.tidy(_solve(kind)), "a long, b long"), name)
     large = members.where(F.col("load") > limit)
     if large.isEmpty():
         return found
@@ -401,7 +401,7 @@ def linked(ws: shared.Workspace, name: str, members: DataFrame, payload: DataFra
     pivots = pivots.where("node is not null").select("grp", "salt", "node", F.lit(0).cast("long").alias("weight"), F.lit(True).alias("pivot"))
     met = large.select("grp", F.pmod(F.xxhash64("node", F.lit(1)), salts).cast("int").alias("salt"), "node", "weight", F.lit(False).alias("pivot"))
     met = met.union(pivots).join(payload, "node").repartition("grp", "salt").sortWithinPartitions("grp", "salt", F.desc("pivot"), "node")
-    met = ws.write(met.mapInArrow(_meet(kind), "grp long, node long, weight long, pivot long, label long"), f"{name}-met")
+    met = ws.write(met.mapInArrow(tokens.tidy(_meet(kind)), "grp long, node long, weight long, pivot long, label long"), f"{name}-met")
     share = met.groupBy("grp", "label").agg(F.ceil(2 * F.sum("weight") / limit).cast("int").alias("blocks"))
     same = met.alias("m").join(share.alias("s"), (F.col("m.grp") == F.col("s.grp")) & F.col("m.label").eqNullSafe(F.col("s.label")))
     dealt = ws.write(same.select("m.grp", "m.node", "m.label", F.pmod(F.xxhash64("m.node", F.lit(2)), F.col("blocks")).cast("int").alias("part")), f"{name}-dealt")
@@ -412,7 +412,7 @@ def linked(ws: shared.Workspace, name: str, members: DataFrame, payload: DataFra
     tasks = tasks.select("grp", F.col("i").alias("ti"), F.col("j").alias("tj"), F.inline(ends)).select("grp", "ti", "tj", F.col("i").alias("block"), "side")
     placed = dealt.alias("d").join(blocks.alias("b"), (F.col("d.grp") == F.col("b.grp")) & F.col("d.label").eqNullSafe(F.col("b.label")) & (F.col("d.part") == F.col("b.part"))).select("d.grp", "d.node", "b.block")
     rows = placed.join(tasks, ["grp", "block"]).join(payload, "node").select("grp", F.col("ti").alias("i"), F.col("tj").alias("j"), "node", "side", value)
-    rest = ws.write(rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_solve(kind), "a long, b long"), f"{name}-rest")
+    rest = ws.write(rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(tokens.tidy(_solve(kind)), "a long, b long"), f"{name}-rest")
     ws.drop(f"{name}-dealt")
     labels = met.where("pivot is not null").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     return found.union(rest).union(labels)
@@ -421,7 +421,7 @@ def linked(ws: shared.Workspace, name: str, members: DataFrame, payload: DataFra
 def _classed(docs: shared.Numbered, k: int, num: int, den: int, task_shingles: int, task_classes: int) -> DataFrame:
     """row, doc, n_shingles, and doc and row of the least document of its component, of every row."""
     ws, spark = docs.ws, docs.table.sparkSession
-    sets = ws.write(docs.texts().mapInArrow(_sets(k), _SETS), "sets")
+    sets = ws.write(docs.texts().mapInArrow(tokens.tidy(_sets(k)), _SETS), "sets")
     table = order_table(sets.where("counts is not null").select("slice", "counts"))
     sets = sets.where("counts is null").select("row", "doc", "n_shingles", "s1", "s2")
     least = F.min(F.struct("doc", "row"))
@@ -430,7 +430,7 @@ def _classed(docs: shared.Numbered, k: int, num: int, den: int, task_shingles: i
     texts = docs.found(classes.select(F.col("node").alias("row")), "class-rows", docs.texts()).select(F.col("row").alias("node"), "text")
 
     sent = spark.sparkContext.broadcast(table)
-    prefixes = ws.write(texts.mapInArrow(_prefixes(k, num, den, sent), "key long, node long, point binary"), "prefixes")
+    prefixes = ws.write(texts.mapInArrow(tokens.tidy(_prefixes(k, num, den, sent)), "key long, node long, point binary"), "prefixes")
     keyed = prefixes.where("key is not null").select("key", "node")
     repeats = keyed.groupBy("key").count().where("count > 1").select("key").hint("merge")
     repeated = ws.write(keyed.join(repeats, "key"), "repeated")

@@ -112,8 +112,8 @@ def fit(rows: DataFrame, featurise: Featuriser, model: Ftrl, epochs: int, pairs:
         used = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(w[used])], names=["at", "weight"])
 
-    made = rows.mapInArrow(features, "doc_id long, label int, at binary, value binary")
-    got = made.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "label", "at").mapInArrow(train, "at long, weight double").toPandas()
+    made = rows.mapInArrow(tokens.tidy(features), "doc_id long, label int, at binary, value binary")
+    got = made.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "label", "at").mapInArrow(tokens.tidy(train), "at long, weight double").toPandas()
     w = np.zeros((1 << BITS) + 1, np.float32)
     w[got["at"].to_numpy(np.int64)] = got["weight"].to_numpy()
     return w
@@ -140,7 +140,7 @@ def keep(docs: DataFrame, featurise: Featuriser, weights: np.ndarray, threshold:
             for lo, hi, x in textvec.slices(text):
                 yield batch.slice(lo, hi - lo).filter(pa.array(_scores(x, featurise, sent.value) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tokens.tidy(run), docs.schema)
 
 
 def score(docs: DataFrame, featurise: Featuriser, weights: np.ndarray, threshold: float) -> DataFrame:
@@ -153,5 +153,5 @@ def score(docs: DataFrame, featurise: Featuriser, weights: np.ndarray, threshold
             for lo, hi, x in textvec.slices(batch):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(_scores(x, featurise, w))], names=["doc_id", "score"])
 
-    scored = shared.texts(docs).mapInArrow(run, "doc_id long, score double")
+    scored = shared.texts(docs).mapInArrow(tokens.tidy(run), "doc_id long, score double")
     return scored.select("doc_id", shared.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shared, textvec
+from . import shared, textvec, tokens
 from .tokens import TEXT_BYTES, encoder, tokenizer_path
 
 LENGTH = 2048
@@ -99,6 +99,7 @@ def best_cuts(at: np.ndarray, cost: np.ndarray, length: int = LENGTH) -> list[in
 
 def _pack(path: str, end_id: int, length: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.give_back()
         e = encoder(path, added)
         doc_ids, counts, chunks = [], [], []
         end = np.array([end_id], e.dtype).tobytes()
@@ -111,6 +112,8 @@ def _pack(path: str, end_id: int, length: int, added: bool):
                 chunks.append(b"".join(coded))
         if not doc_ids:
             return
+        texts = coded = batch = None
+        tokens.give_back()
         ids = np.frombuffer(b"".join(chunks), e.dtype)
         chunks.clear()
         doc_ends = np.cumsum(counts)
@@ -143,4 +146,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, length:
     rows = shared.texts(docs)
     total = rows.select(F.sum(F.octet_length(F.col("text").cast("binary")) + 1)).first()[0] or 0
     ranges = shared.parts(docs.sparkSession, total, range_bytes)
-    return rows.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_pack(path, end_id, length, added), _PIECES)
+    return rows.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id").mapInArrow(tokens.tidy(_pack(path, end_id, length, added)), _PIECES)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from . import shared, textvec
+from . import shared, textvec, tokens
 
 WINDOW = 50
 #: Levels start at the least length from here on that doubles to the window.
@@ -129,7 +129,7 @@ def candidates(marks: DataFrame, ws: shared.Workspace, lengths: list[int]) -> tu
         twice = places.groupBy("hash").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("hash")
         twice = ws.write(twice, f"twice-{size}")  # as a table: only a join of two exchanges can split a skewed key
         found = places.join(twice, "hash").groupBy("row").agg(F.collect_set("hash").alias("kept"))
-        kept = now.join(found.hint("shuffle_hash"), "row").mapInArrow(_level(i, len(lengths)), _marks_schema(len(lengths), i + 1, ", left array<int>"))
+        kept = now.join(found.hint("shuffle_hash"), "row").mapInArrow(tokens.tidy(_level(i, len(lengths))), _marks_schema(len(lengths), i + 1, ", left array<int>"))
         now = ws.write(kept, f"level-{size}")
         ws.drop(f"twice-{size}", *(f"level-{s}" for s in ran[-1:]))
         ran.append(size)
@@ -229,7 +229,7 @@ def _repeats(docs: DataFrame, window: int, shortest: int, as_is: bool) -> DataFr
     ws = shared.Workspace(docs.sparkSession, "substrings")
     numbered = shared.Numbered(ws, docs)
     texts, lengths = numbered.texts(), levels(window, shortest)
-    marks = ws.write(texts.mapInArrow(_marks(window, lengths), _marks_schema(len(lengths), extra=", x long, y long")), "marks")
+    marks = ws.write(texts.mapInArrow(tokens.tidy(_marks(window, lengths)), _marks_schema(len(lengths), extra=", x long, y long")), "marks")
     whole = marks.groupBy("x", "y").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
     whole = ws.write(whole, "whole")
     copies = ws.write(marks.select("row", "doc", "x", "y").join(whole, ["x", "y"]).where("least < doc").select("row"), "copies")
@@ -240,7 +240,7 @@ def _repeats(docs: DataFrame, window: int, shortest: int, as_is: bool) -> DataFr
     kind = full.schema["rest"]
     # A partition's candidates are its small side; texts needn't be sorted.
     keyed = full.join(state.hint("shuffle_hash"), "row", "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
-    extended = ws.write(keyed.mapInArrow(_extend(window), StructType([*StructType.fromDDL(_EXTENDED), kind])), "extended")
+    extended = ws.write(keyed.mapInArrow(tokens.tidy(_extend(window)), StructType([*StructType.fromDDL(_EXTENDED), kind])), "extended")
     numbered.drop()
     ws.drop("marks", "whole", "copies", *(f"level-{s}" for s in lengths))
     places = extended.where(F.size("at") > 0).select("row", "doc", F.inline(F.arrays_zip("at", "hash", "check")))
@@ -249,7 +249,7 @@ def _repeats(docs: DataFrame, window: int, shortest: int, as_is: bool) -> DataFr
     cut = places.join(twice, ["hash", "check"]).where("least < doc").groupBy("row").agg(F.collect_list("at").alias("removed"))
     some = extended.where(F.size("at") > 0).join(cut.hint("shuffle_hash"), "row", "left").select("doc", "n_words", "text", "whole", "removed", "rest")
     none = extended.where(F.size("at") == 0).select("doc", "n_words", "text", "whole", F.lit(None).cast("array<int>").alias("removed"), "rest")
-    return some.union(none).mapInArrow(_remove(window, as_is), StructType([*StructType.fromDDL(_KEPT), kind]))
+    return some.union(none).mapInArrow(tokens.tidy(_remove(window, as_is)), StructType([*StructType.fromDDL(_KEPT), kind]))
 
 
 def digest(kept: DataFrame) -> DataFrame:

@@ -261,3 +261,25 @@ def test_log_ratio_equals_plain_counts(spark):
         g = found[r.doc_id]
         want = sum(log_p(trusted, k) - log_p(raw, k) for k in g) / max(1, len(g))
         assert r.llr == pytest.approx(want, abs=1e-4) and (abs(want - quality_rules.THRESHOLD) < 1e-3 or r.kept == (not r.base_failed and want >= quality_rules.THRESHOLD))
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """At a step's end, also of one that is left early; packing also before it divides the ids, when its texts are gone."""
+    import pyarrow as pa
+
+    from curvelake.llm import packing, tokens
+
+    told = []
+    monkeypatch.setattr(tokens, "give_back", lambda: told.append("given"))
+    run = tokens.tidy(lambda batches: (told.append(b) or b for b in batches))
+    assert list(run(iter([1, 2]))) == [1, 2] and told == [1, 2, "given"]
+    left = run(iter([3, 4]))
+    next(left)
+    left.close()
+    assert told[3:] == [3, "given"]
+    told.clear()
+    monkeypatch.setattr(packing, "TaskContext", type("Context", (), {"get": staticmethod(lambda: type("One", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    monkeypatch.setattr(packing, "candidates", lambda *a, real=packing.candidates: told.append("cut") or real(*a))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a word. And more", ""]}, pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
+    pieces = list(packing._pack(tokens.tokenizer_path(), 1, 2048, True)(iter([batch])))
+    assert told == ["given", "given", "cut"] and [b.column("doc_id").to_pylist() for b in pieces] == [[1, 2]]
